@@ -455,6 +455,22 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     return map_texts(id_and_text(docs, id_col, text_col), kernel, "doc_id long, ids array<int>, decoded string")
 
 
+def encode_rows(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of (doc_id, n_tokens, ids, round_trip): the ids, and whether they decode to the text (they do unless it has a space mark of its own)."""
+    proto = proto_of(model)
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(1).to_pylist()
+        ids, decoded = zip(*encoded(Codec(proto), texts), strict=True)
+        arrays = [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
+        same = [d == (t or "") for d, t in zip(decoded, texts, strict=True)]
+        return record(doc_id=batch.column(0), n_tokens=np.diff(offsets).astype(np.int64), ids=listed, round_trip=pa.array(same))
+
+    return map_texts(id_and_text(docs, id_col, text_col), kernel, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+
+
 def encode_digests(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``encode`` in digests: (doc_id, n_tokens, ids_sha256, decoded_sha256), one row for each input row."""
     proto = proto_of(model)

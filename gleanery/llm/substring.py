@@ -254,6 +254,22 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER, id
     return with_ranges(id_and_text(docs, id_col, text_col), width, m).select("doc_id", "text", "ranges").mapInArrow(apply, f"doc_id long, n_words long, n_removed long, {last} string")
 
 
+def without_repeats(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) -> DataFrame:
+    """``docs`` with the removed words gone from ``text``; a text that loses none stays as it is, with its white space."""
+    names = [c for c in docs.columns if c != "text"]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                texts, ranges = part.column(0).to_pylist(), part.column(1).to_pylist()
+                out = [kept_words((t or "").encode(), r)[2].decode() if r else t for t, r in zip(texts, ranges, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *part.columns[2:]], names=["text", *names])
+
+    rows = with_ranges(docs, width, m).select("text", "ranges", *names)
+    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
+    return rows.mapInArrow(apply, ", ".join(f"`{n}` {fields[n]}" for n in ["text", *names])).select(*docs.columns)
+
+
 ORACLE = r"""
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
 u as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from d),
