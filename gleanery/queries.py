@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from gleanery.plans import retrieval  # noqa: F401
+from gleanery.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
