@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from gleanery.plans import extraction, fusion, layout, retrieval, texts  # noqa: F401
+from gleanery.plans import analytics, context, evaluation, extraction, fusion, layout, reranking, retrieval, texts  # noqa: F401
 from gleanery.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
