@@ -35,11 +35,11 @@ def origin_histogram(t: Tables) -> DataFrame:
     return rows.groupBy("origin").agg(F.count("*").alias("n"))
 
 
-@query("select user_id, count(*) as n, round(sum(value), 4)::double as total, max(value) as slowest, count_if(event_type = 'error') as n_errors, count_if(value > 50) as n_slow, epoch_ms(max(ts)) - epoch_ms(min(ts)) as span_ms from events group by user_id")
+@query("select user_id, count(*) as n, round(sum(value), 4)::double as total, max(value) as slowest, count_if(event_type = 'error') as n_errors, count_if(value > 50) as n_slow, epoch_us(max(ts)) - epoch_us(min(ts)) as span_us from events group by user_id")
 def log_rollup(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(
         F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("value").alias("slowest"), F.count_if(F.col("event_type") == "error").alias("n_errors"),
-        F.count_if(F.col("value") > 50).alias("n_slow"), (F.unix_millis(F.max(F.col("ts").cast("timestamp"))) - F.unix_millis(F.min(F.col("ts").cast("timestamp")))).alias("span_ms"),
+        F.count_if(F.col("value") > 50).alias("n_slow"), (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))).alias("span_us"),
     )
 
 
