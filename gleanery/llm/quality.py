@@ -3,8 +3,8 @@
 Base counts come from words and lines of the whole text. Fertility comes from a public vocabulary: characters per
 token, the share of tokens that are byte fallbacks, and the entropy of the token distribution over its
 largest possible value. Each language has bands of these, by size class of the text as entropy depends on it: quartiles over all
-documents, widened by ``SPREAD`` times the distance between them and by ``SLACK``, more where few documents
-stand behind them. A document outside a band is rejected; so are those that fail the base rules.
+documents, widened by ``SPREAD`` times the distance between them and by ``SLACK`` over the square root of the class's tokens (a few odd
+words weigh more in a short text), more where few documents stand behind them. A document outside a band is rejected; so are those that fail the base rules.
 
 Null texts have no words. A null language is a language of its own. Ties and repeated rows change nothing. An
 empty table gives an empty result.
@@ -26,10 +26,10 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 METRICS = ("chars_per_token", "byte_share", "entropy")
-SPREAD = 6.0
-SLACK = {"chars_per_token": 0.25, "byte_share": 0.05, "entropy": 0.05}
+SPREAD = 4.0
+SLACK = {"chars_per_token": 2.0, "byte_share": 0.8, "entropy": 0.5}
 #: A class of few documents has wider bands: by 1 + FEW / sqrt(documents).
-FEW = 10.0
+FEW = 2.0
 
 
 def repeated_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +105,7 @@ def bands(rows: DataFrame) -> DataFrame:
     quartiles = rows.filter("not base_failed").groupBy("lang", "class").agg(F.count("*").alias("n"), *[F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in METRICS])
     out = ["lang", "class"]
     for m in METRICS:
-        width = (SPREAD * (F.col(m)[1] - F.col(m)[0]) + SLACK[m]) * (1 + FEW / F.sqrt("n"))
+        width = (SPREAD * (F.col(m)[1] - F.col(m)[0]) + SLACK[m] / F.pow(F.lit(2.0), F.col("class"))) * (1 + FEW / F.sqrt("n"))
         out += [(F.col(m)[0] - width).alias(f"{m}_low"), (F.col(m)[1] + width).alias(f"{m}_high")]
     return quartiles.select(*out)
 
