@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over ``documents``, each applying an operator of ``gleanery.llm``.
 
-Each stage takes all that its predecessor kept and, but for the last, returns the columns of documents. Rows keep
-their doc_id; where a text changes, n_chars is counted anew.
+Each stage takes all that its predecessor kept and, but for the last, returns the columns of documents; other columns are
+dropped, so none clashes. Rows keep their doc_id; where a text changes, n_chars is counted anew. Rows of one doc_id
+are one document: a stage keeps, drops or repeats them alike. A null doc_id is never toxic and has no duplicates. Null
+and empty texts stay as they are up to mixing, which takes documents with words only. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document comes as many times as the mix takes it, rounded to whole documents: 0 to 3."""
     docs = docs.select(*COLUMNS)
     taken = mixing.mix(docs).filter("size > 0").select("doc_id", F.expr("cast(floor(taken / size + 0.5) as int)").alias("times")).filter("times > 0")
-    taken = taken.groupBy("doc_id").agg(F.max("times").alias("times"))
-    return docs.join(taken, "doc_id").withColumn("copy", F.explode(F.expr("sequence(1, times)"))).select(*COLUMNS)
+    taken = taken.groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("times").alias("times"))
+    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id"])).withColumn("copy", F.explode(F.expr("sequence(1, times)"))).select(*COLUMNS)
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

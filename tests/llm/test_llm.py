@@ -293,6 +293,19 @@ def test_words_split_as_bytes_do():
     assert np.diff(begins).tolist() == [len(t.encode().split()) for t in texts]
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
+    import corpus_pipeline as C
+
+    frame(spark, [(5, 0), (6, 1), (8, None), (None, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = odd.withColumn("n_chars", F.length("text").cast("long")).withColumn("copy", F.lit("clash"))
+    for rows in (docs, docs.limit(0)):
+        for name, stage in C.STAGES:
+            rows = stage(spark, rows, str(tmp_path))
+            assert name == "sentencepiece" or rows.columns == list(C.COLUMNS)
+            ids = [r["doc_id"] for r in rows.collect()]
+            assert not ids or (None in ids and 7 in ids)
+
+
 @here
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as C
