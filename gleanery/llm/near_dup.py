@@ -11,9 +11,9 @@ similarity 0.75 shares none of the 32 once in 200,000 times, one of 0.8 once in
 Candidates: each bucket's members are first paired with its least member only, so a bucket of any size
 costs a row a member. A pair passes if the joint likelihood of its registers, given both set sizes, does
 not rule out 0.75. Passing pairs are verified on their full sets. Then, in buckets whose members
-are not yet of one component, the members are compared across components in blocks of bounded size
-with numpy, and passing pairs are verified as well. So every pair that shares a bucket is tested, unless it is
-connected anyway.
+are not yet of one component, the members are compared across components in blocks of bounded size:
+by registers first, on their full sets of shingle hashes then, in numpy. So every pair that shares a bucket is
+tested, unless it is connected anyway, and no pass makes a row for each pair of a group.
 
 Null, empty and blank texts have no set and are linked with nothing. doc_id names a document; repeated rows
 fall in one class. A null doc_id is never a component's id unless its class has no other. An
@@ -181,38 +181,72 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Dat
     return checkpointed(both.mapInArrow(run, "a long, b long").distinct())
 
 
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one bucket with different labels that the registers do not rule out.
+def across(members: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b) between members of one bucket with different labels; of each group only as many as join its labels.
 
-    members: (key, doc_id, label, n_shingles, registers, size). A bucket is cut into blocks by hash, and
-    each pair of blocks is a group of at most about 2 * BLOCK rows, whatever the bucket's size.
+    members: (key, doc_id, label, n_shingles, registers, size). A bucket is cut into blocks by hash, and each pair of blocks is
+    a group of at most about 2 * BLOCK rows, whatever the bucket's size. A first pass by registers keeps the members
+    that have a pair not ruled out; a second one compares their full sets. Both give rows by member, not by pair.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "label", "n_shingles", "registers")
+    share = percent / 100
+    least_same = int(REGISTERS * share - 7 * np.sqrt(REGISTERS * share * (1 - share)))  # seven standard deviations below
 
-    def compare(group: pa.Table) -> pa.Table:
+    def likely(group: pa.Table) -> pa.Table:
         key = int(group.column("key")[0].as_py())
         own, ids, labels, n = (group.column(c).to_numpy() for c in ("own", "doc_id", "label", "n_shingles"))
         rows = matrix(group.column("registers").combine_chunks())
         keys = band_keys(rows)
         x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
         a_of, b_of = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        found = np.zeros(len(ids), bool)
+        for at in range(0, len(a_of), 64):
+            some = a_of[at : at + 64]
+            same = (rows[some][:, None, :] == rows[b_of][None, :, :]).sum(2)
+            a, b = np.nonzero(same >= least_same)
+            a, b = some[a], b_of[b]
+            fits = (labels[a] != labels[b]) & ((ids[b] > ids[a]) | (x != y)) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+            a, b = a[fits], b[fits]
+            fits = keys[b, (keys[a] == keys[b]).argmax(1)] == key  # else another bucket of both has the pair
+            a, b = a[fits], b[fits]
+            for k in range(0, len(a), 8192):
+                i, j = a[k : k + 8192], b[k : k + 8192]
+                fits = may_reach(rows[i], rows[j], n[i].astype(float), n[j].astype(float), percent)
+                found[i[fits]] = found[j[fits]] = True
+        return group.select(["key", "x", "y", "own", "doc_id", "label"]).filter(pa.array(found))
+
+    kind = "key long, x int, y int, own int, doc_id long, label long"
+    left = checkpointed(placed.groupBy("key", "x", "y").applyInArrow(likely, kind))
+    texts = docs.filter("text is not null").join(left.select("doc_id").distinct(), "doc_id", "left_semi")
+
+    def exact(group: pa.Table) -> pa.Table:
+        own, ids, labels = (group.column(c).to_numpy() for c in ("own", "doc_id", "label"))
+        value, begins = shingles([t.encode() for t in group.column("text").to_pylist()], width)
+        _, value = np.unique(value, return_inverse=True)
+        n, root = np.diff(begins), {}
+
+        def find(label: int) -> int:
+            while root.get(label, label) != label:
+                label = root[label]
+            return label
+
         found = []
-        for a in a_of.tolist():
-            b = b_of[(labels[b_of] != labels[a]) & ((ids[b_of] > ids[a]) | (x != y))]
-            b = b[100 * np.minimum(n[b], n[a]) >= percent * np.maximum(n[b], n[a])]
-            if not len(b):
-                continue
-            shared = keys[b] == keys[a]
-            b = b[keys[b, shared.argmax(1)] == key]  # else another bucket of both has the pair
-            if len(b):
-                b = b[may_reach(np.repeat(rows[a : a + 1], len(b), 0), rows[b], np.full(len(b), n[a], float), n[b].astype(float), percent)]
-                found += [(int(min(ids[a], i)), int(max(ids[a], i))) for i in ids[b].tolist()]
+        for k in np.flatnonzero(own == group.column("x")[0].as_py()).tolist():
+            mark = np.zeros(len(value) + 1, bool)
+            mark[value[begins[k] : begins[k + 1]]] = True
+            hits = np.concatenate([[0], np.cumsum(mark[value])])
+            common = hits[begins[1:]] - hits[begins[:-1]]
+            for j in np.flatnonzero((100 * common >= percent * (n + n[k] - common)) & (labels != labels[k]) & (common > 0)).tolist():
+                one, two = find(int(labels[k])), find(int(labels[j]))
+                if one != two:
+                    root[max(one, two)] = min(one, two)
+                    found.append((int(ids[k]), int(ids[j])))
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return placed.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long")
+    return left.join(texts, "doc_id").groupBy("key", "x", "y").applyInArrow(exact, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,7 +272,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, id_c
     open_members = members.filter("size > 2").join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", label.alias("label"), "size")
     open_keys = open_members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
     open_members = open_members.join(open_keys, "key", "left_semi").join(sets, "doc_id")
-    more = verified(across(open_members.select("key", "doc_id", "label", "n_shingles", "registers", "size"), percent).distinct(), docs, percent, width)
+    more = checkpointed(across(open_members.select("key", "doc_id", "label", "n_shingles", "registers", "size"), docs, percent, width))
     if not more.isEmpty():
         found = checkpointed(components(links.unionByName(more)))
     named = classes.join(found, F.col("doc_id") == F.col("node"), "left").select("low", "high", F.col("n_shingles").alias("n"), F.coalesce("least", "doc_id").alias("component"))
