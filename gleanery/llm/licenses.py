@@ -3,9 +3,10 @@
 Words are lower-cased ASCII letters, digits and anything beyond ASCII. Hashes of ``GRAM``-word runs, winnowed to the least of each
 ``WINNOW`` neighbours, are the fingerprints: any common run of GRAM + WINNOW - 1 words shares one. The
 templates' fingerprints form an inverted index from hash to (template, place). A document's fingerprints look up candidates as
-(template, diagonal); neighbouring diagonals are one candidate, and a banded alignment of the document's words around it with the whole template
-gives the matched words. Coverage is the share of the template's words that match, in order; a candidate
-below ``least`` goes, and of overlapping ones of a document the one with more matched words stays.
+(template, diagonal); neighbouring diagonals are one candidate, as wide as they reach, and an alignment of the document's words from ``BAND``
+before its first diagonal to ``BAND`` past its last with the whole template gives the matched words. From one matched word to the next the diagonal moves
+by 2 * BAND at most. Coverage is the share of the template's words that match, in order. Every occurrence in a candidate counts, each aligned
+past the one before; one below ``least`` goes, and of overlapping ones of a document the one with more matched words stays.
 
 Null and empty texts have no match. Repeated rows are scanned each. An empty table gives an empty result.
 """
@@ -13,6 +14,7 @@ Null and empty texts have no match. Repeated rows are scanned each. An empty tab
 from __future__ import annotations
 
 import re
+from bisect import bisect
 
 import numpy as np
 import pyarrow as pa
@@ -96,42 +98,56 @@ class Index:
         self.table = HashTable()
         self.table.put(np.array(list(places), np.int64), np.arange(len(places), dtype=np.int32))
 
-    def candidates(self, own: np.ndarray) -> list[tuple[int, int]]:
-        """(template, diagonal) of a document's word hashes, one for each run of neighbouring diagonals."""
+    def candidates(self, own: np.ndarray) -> list[tuple[int, int, int]]:
+        """(template, first diagonal, last diagonal) of a document's word hashes, one for each run of neighbouring diagonals."""
         at, keys = winnowed(own)
         found = self.table.get((keys >> U(1)).astype(np.int64))
         pairs = sorted({(t, int(at[k]) - p) for k in np.flatnonzero(found >= 0).tolist() for t, p in self.places[found[k]]})
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, int]] = []
         for t, d in pairs:
-            if not out or out[-1][0] != t or d - last > BAND:
-                out.append((t, d))
-            last = d
+            if out and out[-1][0] == t and d - out[-1][2] <= BAND:
+                out[-1] = (t, out[-1][1], d)
+            else:
+                out.append((t, d, d))
         return out
 
 
-def aligned(template: list[bytes], words: list[bytes], diagonal: int, band: int = BAND) -> list[tuple[int, int]]:
-    """Longest common subsequence of a template and the document's words within ``band`` of a diagonal, as pairs of places."""
-    rows = len(template)
-    width = 2 * band + 1
-    score = [[0] * (width + 1) for _ in range(rows + 1)]
-    for i in range(rows - 1, -1, -1):
-        for b in range(width - 1, -1, -1):
-            j = i + diagonal + b - band
-            best = max(score[i + 1][b - 1] if b else 0, score[i][b + 1])
-            if 0 <= j < len(words) and words[j] == template[i]:
-                best = max(best, 1 + score[i + 1][b])
-            score[i][b] = best
-    pairs, i, b = [], 0, 0
-    while i < rows and b < width:
-        j = i + diagonal + b - band
-        if 0 <= j < len(words) and words[j] == template[i] and score[i][b] == 1 + score[i + 1][b]:
-            pairs.append((i, j))
-            i += 1
-        elif score[i][b] == score[i][b + 1]:
-            b += 1
-        else:
-            i, b = i + 1, b - 1
-    return pairs
+def occurrences(template: list[bytes], words: list[bytes], first: int, last: int, need: int, band: int = BAND) -> list[tuple[int, int, int]]:
+    """(matched words, first place, last place) of each occurrence with ``need`` or more words within ``band`` of the diagonals from first to last.
+
+    The best chain of equal words up to each place has the most words and, of those, starts latest. The earliest chain with enough
+    words is carried on as far as it goes; the next occurrence is sought past its end. So each word is read a few times only.
+    """
+    rows: dict[bytes, list[int]] = {}
+    for i, w in enumerate(template):
+        rows.setdefault(w, []).append(i)
+    points = [(j, i) for j in range(max(0, first - band), min(len(words), last + band + len(template))) for i in rows.get(words[j], ()) if first - band <= j - i <= last + band]
+    out, at = [], 0
+    while at < len(points):
+        chains: list[tuple[int, int]] = []  # (words, start) of the best chain up to each point from ``at`` on
+        near, found, stop = at, None, len(words)
+        for k in range(at, len(points)):
+            j, i = points[k]
+            if j > stop:
+                break
+            while points[near][0] < j - len(template) - 2 * band:
+                near += 1
+            best = (0, j)
+            for m in range(near, k):
+                before, row = points[m]
+                if row < i and before < j and abs(j - i - before + row) <= 2 * band and chains[m - at] > best:
+                    best = chains[m - at]
+            chains.append((best[0] + 1, best[1]))
+            if chains[-1][0] >= need and (found is None or (chains[-1][1] <= once and chains[-1] > found[:2])):
+                if found is None:
+                    once, stop = j, j + len(template) + 2 * band
+                found = (*chains[-1], j)
+        if found is None:
+            break
+        out.append(found)
+        while at < len(points) and points[at][0] <= found[2]:
+            at += 1
+    return out
 
 
 def matches(index: Index, text: bytes, least: float) -> list[tuple[str, float, int, int, int]]:
@@ -141,18 +157,23 @@ def matches(index: Index, text: bytes, least: float) -> list[tuple[str, float, i
         return []
     plain = [w for w, _, _ in words]
     found = []
-    for t, diagonal in index.candidates(word_hash(plain)):
-        pairs = aligned(index.words[t], plain, diagonal)
-        share = len(pairs) / len(index.words[t])
-        if share >= least:
-            found.append((len(pairs), share, pairs[0][1], pairs[-1][1], index.names[t]))
+    for t, first, last in index.candidates(word_hash(plain)):
+        size = len(index.words[t])
+        need = next(n for n in range(1, size + 2) if n / size >= least or n > size)
+        found += [(n, n / size, a, b, index.names[t]) for n, a, b in occurrences(index.words[t], plain, first, last, need)]
     found.sort(key=lambda x: (-x[0], -x[1], x[2], x[4]))
-    kept: list = []
+    kept: list = []  # by first place
     for x in found:
-        if all(x[3] < y[2] or x[2] > y[3] for y in kept):
-            kept.append(x)
-    place = lambda byte: len(text[:byte].decode("utf-8", "ignore"))
-    return [(name, share, place(words[a][1]), place(words[b][2]), n) for n, share, a, b, name in sorted(kept, key=lambda x: x[2])]
+        k = bisect(kept, x[2], key=lambda y: y[2])
+        if (k == 0 or kept[k - 1][3] < x[2]) and (k == len(kept) or x[3] < kept[k][2]):
+            kept.insert(k, x)
+    out, byte, place = [], 0, 0
+    for n, share, a, b, name in kept:
+        start = place + len(text[byte : words[a][1]].decode("utf-8", "ignore"))
+        byte = words[b][2]
+        place = start + len(text[words[a][1] : byte].decode("utf-8", "ignore"))
+        out.append((name, share, start, place, n))
+    return out
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

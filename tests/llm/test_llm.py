@@ -259,6 +259,21 @@ def test_license_spans(spark):
     assert got[4]["license"] == "CC-BY-NC-4.0"
 
 
+def test_licenses_back_to_back_and_behind_comment_words(spark):
+    notice, mit = "Released under the MIT License.", licenses.TEMPLATES["MIT"][1]
+    words = mit.split()
+    lines = [f"{mark} " + " ".join(words[k : k + 8]) for k, mark in zip(range(0, len(words), 8), ["REM"] * 99, strict=False)]
+    rows = [(1, " ".join([notice] * 40)), (2, "\n".join(lines)), (3, f"é {notice} and {notice}"), (4, "\n".join(lines * 3)), (5, "Released under the MIT. " + notice), (6, f"{mit}\n{mit}")]
+    got = licenses.scan_licenses(frame(spark, rows, "doc_id long, text string")).orderBy("doc_id", "first_char").collect()
+    assert Counter(r["doc_id"] for r in got) == {1: 40, 2: 1, 3: 2, 4: 3, 5: 2, 6: 2}
+    assert all(r["license"] == "MIT" for r in got)
+    assert [(r["first_char"], r["past_char"]) for r in got if r["doc_id"] == 1] == [(k * 32, k * 32 + 30) for k in range(40)]
+    assert all(r["coverage"] == 1 for r in got if r["doc_id"] not in (5,))
+    text = dict(rows)
+    assert all(text[r["doc_id"]][r["first_char"] : r["past_char"]].startswith(("Released", "Permission")) for r in got)
+    assert [round(r["coverage"], 1) for r in got if r["doc_id"] == 5] == [0.8, 1.0]
+
+
 def test_mix_comes_near_its_targets(spark):
     rnd = random.Random(6)
     rows = [(i, " ".join("w" * rnd.randint(1, 60)), None, rnd.choice(["big"] * 20 + ["small", None])) for i in range(500)]
