@@ -28,16 +28,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import id_and_text, record, sliced
+from gleanery.llm.common import checkpointed, id_and_text, record, sliced
+from gleanery.llm.components import components
 
 SAMPLES = 128
 CYCLE = 4096  # steps after which the random bits repeat
 AHEAD, STRIDE, RUN = 4, 32, 1 << 16
 #: Bytes of text walked side by side.
 WALKED = 8 << 20
+#: Chance that a pair of the least likeness shares a band, and rows of a block of a bucket.
+RECALL, BLOCK = 0.95, 1000
 _rng = np.random.default_rng(1905)
 #: A random bit for each step of the cycle and each of 256 classes of characters.
 MOVES = _rng.integers(0, 2, (CYCLE, 256))
@@ -147,26 +150,85 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return id_and_text(docs, id_col, text_col).mapInArrow(lambda batches: (kernel(part) for b in batches for part in sliced(b, most=WALKED)), "doc_id long, n_chars long, fingerprint string")
 
 
-def similar_pairs(prints: DataFrame, least: float = 0.5, bits: int = 8) -> DataFrame:
-    """Pairs (a, b, near) of documents whose fingerprints' likeness is at least ``least``, from ``fingerprint``'s rows.
+def band_bits(least: float, recall: float = RECALL) -> int:
+    """The most samples a band can have so that a pair of likeness ``least`` shares one of the bands with chance ``recall``."""
+    return max([r for r in range(1, SAMPLES + 1) if 1 - (1 - least**r) ** (SAMPLES // r) >= recall], default=1)
 
-    Bands of ``bits`` neighbouring samples name buckets; equal fingerprints are one before that, and each bucket's
-    members are paired with its least member, so a bucket costs a row a member. Pairs are then verified on all samples.
+
+def classes(prints: DataFrame) -> DataFrame:
+    """Rows of (doc_id, class_id), one for each row of ``fingerprint``: the least doc_id with the same fingerprint; of an empty text its own."""
+    first = F.min("doc_id").over(Window.partitionBy("fingerprint"))
+    alone = prints.filter("n_chars = 0").select("doc_id", F.col("doc_id").alias("class_id"))
+    return prints.filter("n_chars > 0").select("doc_id", first.alias("class_id")).unionByName(alone)
+
+
+def similar_pairs(prints: DataFrame, least: float = 0.5, bits: int | None = None) -> DataFrame:
+    """Links (a, b, near) between documents whose fingerprints' likeness is at least ``least``, from ``fingerprint``'s rows.
+
+    Equal fingerprints are one document here, named by its least doc_id; ``classes`` has the members. Bands of ``bits`` neighbouring
+    samples, by default as ``band_bits`` gives, name buckets; bands without any sample name none. Each bucket's members are paired with its least
+    member first; then members that are not connected are compared in blocks of bounded size. So each pair that is alike and
+    shares a bucket is a link or connected by links, and a bucket gives rows by member, not by pair.
     """
-    one = prints.filter("n_chars > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    bits = bits or band_bits(least)
+    one = checkpointed(prints.filter("n_chars > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null"))
     width = 2 * bits
-    bands = one.withColumn("key", F.explode(F.expr(f"transform(sequence(0, {SAMPLES // bits - 1}), b -> xxhash64(b, substring(fingerprint, b * {width} + 1, {width})))")))
-    heads = bands.groupBy("key").agg(F.min_by(F.struct("doc_id", "fingerprint"), "doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    pairs = bands.join(heads, "key").filter("doc_id <> head.doc_id").select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("head.fingerprint").alias("x"), F.col("fingerprint").alias("y")).distinct()
+    part = f"substring(fingerprint, b * {width} + 1, {width})"
+    bands = one.withColumn("key", F.explode(F.expr(f"transform(filter(sequence(0, {SAMPLES // bits - 1}), b -> {part} <> repeat('0', {width})), b -> xxhash64(b, {part}))")))
+    heads = bands.groupBy("key").agg(F.min_by(F.struct("doc_id", "fingerprint"), "doc_id").alias("head"), F.count("*").alias("size")).filter("size > 1")
+    members = checkpointed(bands.join(heads, "key"))
+    pairs = members.filter("doc_id <> head.doc_id").select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("head.fingerprint").alias("x"), F.col("fingerprint").alias("y")).distinct()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(bytes.fromhex("".join(batch.column(k).to_pylist())), np.uint8).reshape(-1, SAMPLES) for k in (2, 3))
+            x, y = (samples(batch.column(k)) for k in (2, 3))
             near = likeness(x, y)
             keep = pa.array(near >= least)
             yield record(a=batch.column(0).filter(keep), b=batch.column(1).filter(keep), near=pa.array(near).filter(keep))
 
-    return pairs.mapInArrow(check, "a long, b long, near double")
+    links = checkpointed(pairs.mapInArrow(check, "a long, b long, near double"))
+    label = F.coalesce("least", "doc_id")
+    labelled = members.filter("size > 2").join(components(links.select("a", "b")), F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "fingerprint", "size", label.alias("label"))
+    unconnected = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    more = across(labelled.join(unconnected, "key", "left_semi"), least)
+    return links.unionByName(more).groupBy("a", "b").agg(F.max("near").alias("near"))
+
+
+def samples(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(bytes.fromhex("".join(column.to_pylist())), np.uint8).reshape(-1, SAMPLES)
+
+
+def across(members: DataFrame, least: float) -> DataFrame:
+    """Links (a, b, near) between members of one bucket with different labels; of each group only as many as join its labels.
+
+    members: (key, doc_id, fingerprint, size, label). A bucket is cut into blocks by hash; each pair of blocks is a group.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = members.withColumn("own", F.pmod(F.xxhash64("doc_id", "fingerprint"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "label", "fingerprint")
+
+    def joined(group: pa.Table) -> pa.Table:
+        own, ids, labels = (group.column(c).to_numpy() for c in ("own", "doc_id", "label"))
+        rows, root, found = samples(group.column("fingerprint")), {}, []
+
+        def find(label: int) -> int:
+            while root.get(label, label) != label:
+                label = root[label]
+            return label
+
+        b_of = np.flatnonzero(own == group.column("y")[0].as_py())
+        for k in np.flatnonzero(own == group.column("x")[0].as_py()).tolist():
+            near = likeness(rows[k : k + 1], rows[b_of])
+            for m in np.flatnonzero((near >= least) & (labels[b_of] != labels[k])).tolist():
+                j = int(b_of[m])
+                one, two = find(int(labels[k])), find(int(labels[j]))
+                if one != two:
+                    root[max(one, two)] = min(one, two)
+                    found.append((*sorted((int(ids[k]), int(ids[j]))), float(near[m])))
+        a, b, near = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "near": pa.array(near, pa.float64())})
+
+    return placed.groupBy("key", "x", "y").applyInArrow(joined, "a long, b long, near double")
 
 
 def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:

@@ -185,6 +185,40 @@ def test_edit_embedding_follows_edits(spark):
     assert {(r["a"], r["b"]) for r in edit_embed.similar_pairs(edit_embed.fingerprint(docs)).collect()} == {(1, 2)}
 
 
+def test_similar_fingerprints_share_a_band_or_are_compared_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+
+    def like(row, share):
+        return np.where(rng.random(edit_embed.SAMPLES) < share, row, row % 255 + 1).astype(np.uint8)
+
+    def pairs(rows, **more):
+        prints = spark.createDataFrame([(k, 9, t) for k, t in enumerate(edit_embed.as_text(np.array(rows, np.uint8)))], "doc_id long, n_chars long, fingerprint string")
+        return {(r["a"], r["b"]) for r in edit_embed.similar_pairs(prints, **more).collect()}
+
+    rows = rng.integers(1, 256, (400, edit_embed.SAMPLES)).astype(np.uint8)
+    rows[200:] = [like(x, 0.56) for x in rows[:200]]
+    alike = {(k, k + 200) for k in range(200) if edit_embed.likeness(rows[k : k + 1], rows[k + 200 :][:1])[0] >= 0.5}
+    got = pairs(rows)
+    assert got <= alike and len(got) > 0.95 * len(alike) > 150
+    for size in (1000, 2):  # one bucket, where 1 to 6 are alike and all are unlike 0, in one block and in several
+        monkeypatch.setattr(edit_embed, "BLOCK", size)
+        rows = rng.integers(1, 256, (7, edit_embed.SAMPLES)).astype(np.uint8)
+        rows[2:] = [like(rows[1], 0.9) for _ in range(5)]
+        rows[:, :8] = rows[0, :8]
+        rows[1:, 8::8] = rng.integers(1, 256, (6, 15))  # no other band of 8 is shared
+        joined = {0: 0} | {k: k for k in range(1, 7)}
+        got = pairs(rows, bits=8)
+        for a, b in sorted(got) * 7:
+            joined[a] = joined[b] = min(joined[a], joined[b])
+        assert [joined[k] for k in range(7)] == [0, 1, 1, 1, 1, 1, 1]
+
+
+def test_equal_fingerprints_keep_their_members(spark):
+    docs = frame(spark, [(4, "some text"), (1, "some text"), (None, "some text"), (2, "other words"), (5, ""), (6, None)], "doc_id long, text string")
+    got = edit_embed.classes(edit_embed.fingerprint(docs)).collect()
+    assert Counter((r["doc_id"], r["class_id"]) for r in got) == Counter([(4, 1), (1, 1), (None, 1), (2, 2), (5, 5), (6, 6)])
+
+
 def test_segments_are_maximal():
     scorer = toxicity.Scorer(np.zeros(0, np.int64), np.zeros(0), -0.5)
     rnd = np.random.default_rng(2)
