@@ -47,14 +47,17 @@ def decayed(hits: DataFrame, ratio: float, most: int) -> DataFrame:
 def literal(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, doc_id, place) of queries whose text occurs in a document.
 
-    Candidates share the query's longest inner token, an equi-join; ``locate`` then verifies the whole phrase.
+    Candidates share the query's longest inner token, an equi-join; ``locate`` then verifies the whole phrase. The first and the last token may be
+    parts of a document's word, so phrases of fewer than three tokens have no inner one and are looked for in every document.
     """
-    inner = F.slice(tokens(F.col("text")), 2, F.greatest(F.size(tokens(F.col("text"))) - 2, F.lit(1)))
+    inner = F.slice(tokens(F.col("text")), 2, F.greatest(F.size(tokens(F.col("text"))) - 2, F.lit(0)))
     anchor = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    phrases = queries.select("query_id", F.col("text").alias("phrase"), anchor.alias("token")).filter("token is not null")
+    phrases = queries.select("query_id", F.col("text").alias("phrase"), anchor.alias("token"))
     words = docs.select("doc_id", "text", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     place = F.expr("locate(phrase, text)")
-    return words.join(F.broadcast(phrases), "token").select("query_id", "doc_id", place.alias("place")).filter("place > 0")
+    anchored = words.join(F.broadcast(phrases.filter("token is not null")), "token").select("query_id", "doc_id", place.alias("place")).filter("place > 0")
+    short = docs.join(F.broadcast(phrases.filter("token is null")), place > 0).select("query_id", "doc_id", place.alias("place"))
+    return anchored.unionByName(short)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:

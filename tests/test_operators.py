@@ -34,6 +34,15 @@ def test_ties_with_the_last_place_are_kept(spark):
     assert retrieve.top(df, 2, "doc_id").count() == 2
 
 
+def test_literal_finds_phrases_without_an_inner_token(spark):
+    texts = ["the MIT License, Version 2", "漢字 and licenses", "cens", None, "MIT Lic", "x -- y"]
+    phrases = ["License", "MIT Lic", "漢字", "cens", "he MIT License, Ver", "--", "absent", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(phrases)), "query_id long, text string")
+    wanted = sorted((q, d, t.index(p) + 1) for q, p in enumerate(phrases) for d, t in enumerate(texts) if p and t and p in t)
+    assert sorted(map(tuple, retrieve.literal(asked, docs).collect())) == wanted
+
+
 def test_fallback_serves_only_queries_without_hits(spark):
     a, b = (spark.createDataFrame(x, "query_id int, doc_id int") for x in ([(1, 1)], [(1, 2), (2, 3)]))
     assert sorted(map(tuple, retrieve.with_fallback(a, b).collect())) == [(1, 1), (2, 3)]
