@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gleanery.llm.common import id_and_text, map_texts, record
+from gleanery.llm.words import spread
 
 SPACE_MARK = "▁"
 #: Tested pairs that a worker keeps; beyond it they are tested anew.
@@ -408,11 +409,6 @@ class Codec:
         return raw.decode("utf-8", "each_byte")
 
 
-def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, .. for lengths[0] values, then the same for the next."""
-    return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-
-
 def proto_of(model: str | None) -> bytes:
     with open(model or default_model(), "rb") as f:  # the driver's copy travels with the tasks
         return f.read()

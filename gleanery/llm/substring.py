@@ -10,15 +10,22 @@ word for word, and all but the first occurrence are marked. Before that, each ta
 super-k-mers that it has sent already, marking them at once: of a passage that a third of all
 documents share, a task sends few copies.
 
-Null doc_ids come last. Rows of the same doc_id count as one document's windows: among equal starts
-none is earlier, and the marks of a doc_id apply to all its rows. Null texts have no words. Texts under
-``width`` words have no window. An empty table gives an empty result.
+Memory is bounded in bytes. The number of buckets follows the bytes of the input, for ``BUCKET_BYTES`` packed bytes in
+each on average; a first pass over all documents adds up the loads of cells of minimisers, and the windows of cells ``HOT_BYTES`` beyond
+the average travel one by one, dealt by the hash of the whole window, so equal ones still meet and no frequent minimiser is one task. A map task
+sends what it holds every ``GATHER`` bytes. The list of hot cells has ``MOST_HOT`` entries at most, as the bound rises with the input.
+
+A document is named by its doc_id. Null doc_ids come last: such a row is named and placed by the hash of its text. Rows of
+the same name count as one document's windows: among equal starts none is earlier, and the marks of a name apply to all its rows, so exact copies
+of a row all stay or lose the same words. Null and empty texts have no words. Texts under ``width`` words have no window. A very long
+text is one slice of its own, never cut. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,24 +33,27 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import id_and_text, record, sliced
-from gleanery.llm.words import compact, hashes, mixed, run_hashes, sliding_min, window_starts
+from gleanery.llm.common import checkpointed, id_and_text, record, sliced
+from gleanery.llm.words import U, compact, hashes, mixed, run_hashes, sliding_min, spread, window_starts
 
 WIDTH, MINIMISER = 20, 3
 #: Packed bytes that a map task gathers before it sends its buckets, and super-k-mers that it knows as repeated.
-GATHER, KNOWN = 48 << 20, 50_000
-BUCKETS_A_PARTITION = 4
-NO_ID = np.iinfo(np.int64).max
+GATHER, KNOWN = 12 << 20, 20_000
+#: Packed bytes of a bucket on average, those beyond which its windows are dealt anew, and such buckets at most.
+BUCKET_BYTES, HOT_BYTES, MOST_HOT = 3 << 20, 6 << 20, 1 << 17
+#: Cells of minimisers whose loads are added up, at least, and rows of them that a task holds.
+CELLS, HELD_CELLS = 4096, 1 << 20
+NO_ID, UNNAMED = np.iinfo(np.int64).max, 1 << 40
 
 
 def super_kmers(texts: list[bytes], width: int, m: int) -> tuple[np.ndarray, ...]:
-    """(data, starts, ends, text, first, windows, key, content) with an entry of the last five for each super-k-mer."""
+    """(data, starts, ends, word hashes, text, first, windows, key, content, at) with an entry of the last six for each super-k-mer."""
     data, starts, ends, begins = compact(texts)
     words = hashes(data, starts, ends)
     at = window_starts(begins, width)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return data, starts, ends, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return data, starts, ends, words, none, none, none, none.astype(U), none.astype(U), none
     runs = run_hashes(words, np.arange(len(words) - m + 1), np.arange(m, len(words) + 1))
     least = sliding_min(runs, width - m + 1)[at]
     text = np.searchsorted(begins, at, side="right") - 1
@@ -51,40 +61,68 @@ def super_kmers(texts: list[bytes], width: int, m: int) -> tuple[np.ndarray, ...
     first = np.flatnonzero(new)
     windows = np.diff(np.concatenate([first, [len(at)]]))
     content = run_hashes(words, at[first], at[first] + windows + width - 1)
-    return data, starts, ends, text[first], at[first] - begins[text[first]], windows, least[first], content, at[first]
+    return data, starts, ends, words, text[first], at[first] - begins[text[first]], windows, least[first], content, at[first]
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(key) % U(buckets)).astype(np.int64)
+
+
+class Routes:
+    """Where windows go: to the bucket of their minimiser, or, where its cell is hot, each by its own hash to one of ``more`` further ones."""
+
+    def __init__(self, buckets: int, cells: int, hot: list[int], more: int) -> None:
+        self.buckets, self.cells, self.hot, self.more = buckets, cells, np.array(sorted(hot), np.int64), more
+
+    def dealt(self, found: tuple[np.ndarray, ...], words: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+        """(text, first, windows, content, at, bucket): the super-k-mers, those of hot buckets as one entry for each window."""
+        text, first, windows, key, content, at = found
+        bucket = bucket_of(key, self.buckets)
+        hot = np.isin(bucket_of(key, self.cells), self.hot)
+        if not hot.any():
+            return text, first, windows, content, at, bucket
+        each = spread(np.zeros(int(hot.sum()), np.int64), windows[hot])  # 0, 1, .. within each of them
+        of = np.repeat(np.flatnonzero(hot), windows[hot])
+        own = at[of] + each
+        one = run_hashes(words, own, own + width)
+        parts = ((text, text[of]), (first, first[of] + each), (windows, np.ones(len(of), np.int64)), (content, one), (at, own), (bucket, self.buckets + bucket_of(one, self.more)))
+        return tuple(np.concatenate([whole[~hot], new]) for whole, new in parts)
 
 
 class Sender:
     """Gathers super-k-mers by bucket, and marks those that repeat one sent by this task."""
 
-    def __init__(self, buckets: int, width: int, m: int) -> None:
-        self.buckets, self.width, self.m = buckets, width, m
+    def __init__(self, routes: Routes, width: int, m: int) -> None:
+        self.routes, self.width, self.m = routes, width, m
         self.known: dict[bytes, tuple[np.uint64, int, int]] = {}
-        self.press = zstandard.ZstdCompressor(level=1)
+        self.press = zstandard.ZstdCompressor(level=3)
         self.empty()
 
     def empty(self) -> None:
         self.held, self.size = [], 0
 
     def take(self, ids: np.ndarray, texts: list[bytes]) -> list[tuple[int, int, int]]:
-        """Gather a slice of documents. (doc_id, first, windows) of the super-k-mers known to start earlier elsewhere."""
-        data, starts, ends, text, first, windows, key, content, *at = super_kmers(texts, self.width, self.m)
-        if not len(text):
+        """Gather a slice of documents. (document, first, windows) of the super-k-mers known to start earlier elsewhere."""
+        data, starts, ends, words, *found = super_kmers(texts, self.width, self.m)
+        if not len(found[0]):
             return []
+        text, first, windows, content, at, bucket = self.routes.dealt(tuple(found), words, self.width)
         raw, doc = data.tobytes(), ids[text]
-        low, high = starts[at[0]], ends[at[0] + windows + self.width - 2]
+        low, high = starts[at], ends[at + windows + self.width - 2]
         order = np.lexsort((first, doc, content))
         same = np.concatenate([[False], content[order][1:] == content[order][:-1]])
         keep, marks = np.ones(len(text), bool), []
         if same.any() or self.known:
             self.drop_copies(order, same, raw, low, high, doc, first, windows, content, keep, marks)
         left = np.flatnonzero(keep)
-        bucket = (mixed(key[left]) % np.uint64(self.buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        left, bucket = left[by], bucket[by]
-        packed = [raw[a:b] for a, b in zip(low[left].tolist(), high[left].tolist(), strict=True)]
-        self.held.append((bucket, doc[left], first[left], windows[left], packed))
-        self.size += sum(map(len, packed))
+        left = left[np.argsort(bucket[left], kind="stable")]
+        bucket = bucket[left]
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(left) else np.zeros(0, np.int64)
+        lows, highs = low[left].tolist(), high[left].tolist()
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(left)], strict=True):
+            packed = b" ".join([raw[x:y] for x, y in zip(lows[a:b], highs[a:b], strict=True)])
+            self.held.append((int(bucket[a]), doc[left[a:b]], first[left[a:b]].astype("<i4"), windows[left[a:b]].astype("<i4"), packed))
+            self.size += len(packed) + 16 * (b - a)
         return marks
 
     def drop_copies(self, order, same, raw, low, high, doc, first, windows, content, keep, marks) -> None:
@@ -97,30 +135,24 @@ class Sender:
             here = (int(doc[k]), int(first[k]))
             known = self.known.get(packed)
             if packed in heads:
+                keep[k] = False
                 if here > (int(doc[heads[packed]]), int(first[heads[packed]])):
-                    keep[k] = False
                     marks.append((*here, int(windows[k])))
                 continue
             heads[packed] = k
-            if known is not None and known[1:] < here:
+            if known is not None and known[1:] <= here:
                 keep[k] = False
-                marks.append((*here, int(windows[k])))
+                if known[1:] < here:
+                    marks.append((*here, int(windows[k])))
             elif len(self.known) < KNOWN or known is not None:
                 self.known[packed] = (content[k], *here)
 
     def send(self) -> Iterator[tuple[int, bytes]]:
-        if not self.held:
-            return
-        bucket, doc, first, windows = (np.concatenate([h[k] for h in self.held]) for k in range(4))
-        packed = [p for h in self.held for p in h[4]]
-        order = np.argsort(bucket, kind="stable")
-        bucket, doc, first, windows = bucket[order], doc[order], first[order], windows[order]
-        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        order = order.tolist()
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
-            body = b" ".join([packed[k] for k in order[a:b]])
-            head = np.int64(b - a).tobytes() + doc[a:b].tobytes() + first[a:b].astype("<i4").tobytes() + windows[a:b].astype("<i4").tobytes()
-            yield int(bucket[a]), self.press.compress(head + body)
+        self.held.sort(key=lambda h: h[0])
+        for bucket, own in groupby(self.held, key=lambda h: h[0]):
+            _, doc, first, windows, packed = zip(*own, strict=True)
+            n = sum(map(len, doc))
+            yield bucket, self.press.compress(b"".join([np.int64(n).tobytes(), *(x.tobytes() for x in (*doc, *first, *windows)), b" ".join(packed)]))
         self.empty()
 
 
@@ -172,15 +204,46 @@ def repeats(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.
     return doc[which[head]], where[head], where[head] + length + width - 1
 
 
+def routes_of(docs: DataFrame, width: int, m: int) -> Routes:
+    """Buckets by the input's bytes, and the hot cells of minimisers, from the loads of all documents."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    share = 1 + (width - 1) * 2 / (width - m + 2)  # words sent for each word, on average
+    buckets = int(max(1, np.ceil(size * share / BUCKET_BYTES)))
+    cells = max(CELLS, buckets // 4)
+
+    def added(rows: np.ndarray) -> np.ndarray:
+        cell, which = np.unique(rows[0], return_inverse=True)
+        return np.stack([cell, np.bincount(which, weights=rows[1], minlength=len(cell)).astype(np.int64)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, 0), np.int64)
+        for batch in batches:
+            for part in sliced(batch):
+                _, starts, ends, _, _, _, windows, key, content, at = super_kmers([t.encode() for t in part.column(0).fill_null("").to_pylist()], width, m)
+                one = np.unique(content, return_index=True)[1]  # copies within a slice are dropped before they are sent
+                held = added(np.concatenate([held, [bucket_of(key[one], cells), (ends[at + windows + width - 2] - starts[at])[one]]], 1))
+                if held.shape[1] > HELD_CELLS:
+                    yield record(cell=held[0], load=held[1])
+                    held = held[:, :0]
+        yield record(cell=held[0], load=held[1])
+
+    loads = docs.select("text").mapInArrow(run, "cell long, load long").groupBy("cell").agg(F.sum("load").alias("load"))
+    loads = checkpointed(loads)
+    total = loads.agg(F.sum("load")).first()[0] or 0
+    hot = loads.filter(F.col("load") > max(HOT_BYTES + total // cells, total // MOST_HOT)).collect()  # MOST_HOT rows at most
+    return Routes(buckets, cells, [r["cell"] for r in hot], int(np.ceil(sum(r["load"] for r in hot) * width / share / BUCKET_BYTES)) or 1)
+
+
 def removed_ranges(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) -> DataFrame:
-    """Rows of (doc_id, ranges): per document with removed words their word ranges [low, high), which may overlap."""
-    buckets = BUCKETS_A_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Rows of (document, ranges) for rows of (document, text): word ranges [low, high) that go, which may overlap."""
+    routes = docs.sparkSession.sparkContext.broadcast(routes_of(docs, width, m))
+    buckets = routes.value.buckets
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(buckets, width, m)
+        sender = Sender(routes.value, width, m)
         for batch in batches:
             for part in sliced(batch):
-                ids = part.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
                 marks = sender.take(ids, [t.encode() for t in part.column(1).fill_null("").to_pylist()])
                 if marks:
                     d, f, n = (np.array(x, np.int64) for x in zip(*marks, strict=True))
@@ -192,12 +255,13 @@ def removed_ranges(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) -> D
     def of(bucket: int, blob: bytes | None, doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
         n = len(doc) if blob is None else 1
         return record(
-            bucket=pa.array(mark_bucket(doc) if blob is None else [bucket], pa.int64()), blob=pa.array([blob] * n, pa.binary()),
+            bucket=pa.array(mark_bucket(doc, low) if blob is None else [bucket], pa.int64()), blob=pa.array([blob] * n, pa.binary()),
             doc=pa.array(doc if blob is None else [None], pa.int64()), low=pa.array(low if blob is None else [None], pa.int64()), high=pa.array(high if blob is None else [None], pa.int64()),
         )
 
-    def mark_bucket(doc: np.ndarray) -> np.ndarray:
-        return (mixed(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    def mark_bucket(doc: np.ndarray, low: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return bucket_of(doc.astype(U) * U(0x9E3779B97F4A7C15) + low.astype(U), buckets)
 
     def sent(pair: tuple[int, bytes]) -> pa.RecordBatch:
         return of(pair[0], pair[1], *[np.zeros(0, np.int64)] * 3)
@@ -205,18 +269,17 @@ def removed_ranges(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) -> D
     def count(bucket: pa.Table) -> pa.Table:
         blobs = bucket.column("blob").drop_null().to_pylist()
         known = bucket.filter(bucket.column("doc").is_valid())
-        doc, low, high = repeats(blobs, width) if blobs else [np.zeros(0, np.int64)] * 3
-        doc, low, high = (np.concatenate([known.column(c).to_numpy(), x]) for c, x in (("doc", doc), ("low", low), ("high", high)))
-        order = np.lexsort((low, doc))
-        doc, low, high = doc[order], low[order], high[order]
+        found = repeats(blobs, width) if blobs else [np.zeros(0, np.int64)] * 3
+        rows = np.stack([np.concatenate([known.column(c).to_numpy(), x]) for c, x in zip(("doc", "low", "high"), found, strict=True)], 1)
+        doc, low, high = np.unique(rows, axis=0).T
         cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
         flat = np.stack([low, high], 1).ravel().astype(np.int32)
         offsets = pa.array(np.concatenate([2 * cuts, [2 * len(doc)]]).astype(np.int32))
-        return pa.table({"doc_id": pa.array(doc[cuts], pa.int64()), "flat": pa.ListArray.from_arrays(offsets, pa.array(flat))})
+        return pa.table({"document": pa.array(doc[cuts], pa.int64()), "flat": pa.ListArray.from_arrays(offsets, pa.array(flat))})
 
     sent_rows = docs.mapInArrow(split, "bucket long, blob binary, doc long, low long, high long")
-    found = sent_rows.groupBy("bucket").applyInArrow(count, "doc_id long, flat array<int>")
-    return found.groupBy("doc_id").agg(F.flatten(F.collect_list("flat")).alias("ranges"))
+    found = sent_rows.groupBy("bucket").applyInArrow(count, "document long, flat array<int>")
+    return found.groupBy("document").agg(F.flatten(F.collect_list("flat")).alias("ranges"))
 
 
 def kept_words(text: bytes, ranges: list[int] | None) -> tuple[int, int, bytes]:
@@ -233,10 +296,10 @@ def kept_words(text: bytes, ranges: list[int] | None) -> tuple[int, int, bytes]:
 
 
 def with_ranges(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) -> DataFrame:
-    """``docs`` (doc_id, text, ..) with the column ``ranges``; the rows of a doc_id all get its ranges."""
-    key = F.coalesce("doc_id", F.lit(int(NO_ID)))
-    found = removed_ranges(docs.select("doc_id", "text"), width, m).withColumnRenamed("doc_id", "found_id")
-    return docs.join(found, key == F.col("found_id"), "left").drop("found_id")
+    """``docs`` (doc_id, text, ..) with the column ``ranges``; the rows of a document all get its ranges."""
+    name = F.coalesce("doc_id", F.lit(int(NO_ID)) - F.pmod(F.xxhash64("text"), F.lit(UNNAMED)))
+    found = removed_ranges(docs.select(name.alias("document"), "text"), width, m)
+    return docs.join(found, name == F.col("document"), "left").drop("document")
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
