@@ -6,38 +6,49 @@ named like a result column, never clash. Results hold the id (as ``doc_id``) and
 
 from __future__ import annotations
 
-import tempfile
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one call of a vectorised kernel sees. A longer single text is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch on its way to a Python worker, unless the session has a smaller bound.
+BATCH_BYTES = 8 << 20
 
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bound Arrow batches of this session by bytes, as rows may be very long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"([0-9]+)([a-z]*)", spark.conf.get(name).lower()).groups()
+    if int(number) << {"k": 10, "m": 20, "g": 30}.get(unit[:1], 0) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text) as integer and string; a doc_id that is no integer is an error, as in any cast under ANSI."""
+    bounded(docs.sparkSession)
     return docs.select(
         F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")
     )
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, in the reliable folder that the session names.
-
-    On a cluster ``spark.checkpoint.dir`` is a shared folder. Only where it is unset (tests) is a
-    local one used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """The same rows with their lineage cut, in the reliable folder that the session names (``spark.checkpoint.dir``, shared by a cluster's machines)."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            raise RuntimeError("set spark.checkpoint.dir (or SparkContext.setCheckpointDir) to a folder that all machines share")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -70,8 +81,9 @@ def sliced(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         at = upto
 
 
-def map_texts(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, column: str = "text") -> DataFrame:
     """Run ``kernel`` over bounded slices of every partition."""
+    bounded(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,23 +5,26 @@ sequence as one. Documents whose sets have a similarity of 0.75 or more are link
 
 Sketch: ``REGISTERS`` minima of exponential hash values, each as its exponent to the base ``B``, cut to
 a byte. Such registers merge by maximum, and two sets agree in one about as often as their
-similarity. Equal sets are one class from here on. Bands of four registers name buckets; a pair of
+similarity. Texts of the same words, by SHA-256, are one class from here on. Bands of four registers name buckets; a pair of
 similarity 0.75 shares none of the 32 once in 200,000 times, one of 0.8 once in 20 million.
 
 Candidates: each bucket's members are first paired with its least member only, so a bucket of any size
 costs a row a member. A pair passes if the joint likelihood of its registers, given both set sizes, does
-not rule out 0.75. Passing pairs are verified on their full sets. Then, in buckets whose members
-are not yet of one component, the members are compared across components in blocks of bounded size:
-by registers first, on their full sets of shingle hashes then, in numpy. So every pair that shares a bucket is
+not rule out 0.75. Passing pairs are verified on their full sets: a pivot's text travels once for each ``PART`` members, not with each pair, and the
+members' texts stream past it. Then, in buckets whose members
+are not yet of one component, the members are compared across components in blocks bounded in rows and in words:
+by registers first, then on their shingle hashes in numpy, and each link that joins two components on the full sets. So every pair that shares a bucket is
 tested, unless it is connected anyway, and no pass makes a row for each pair of a group.
 
-Null, empty and blank texts have no set and are linked with nothing. doc_id names a document; repeated rows
-fall in one class. A null doc_id is never a component's id unless its class has no other. An
-empty table gives an empty result.
+Null, empty and blank texts have no set and are linked with nothing. doc_id names a document; rows of one doc_id are one document, linked by what any of
+its texts links. Rows without a doc_id are named by a hash of their text beyond all doc_ids (which are below 2^62): they link
+like others, but give a component its id, null, only where it has no other. Ties of registers count as equal registers. A very long text
+is a slice or a block of its own, never cut. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import checkpointed, id_and_text, map_texts, record, sliced
+from gleanery.llm.common import checkpointed, id_and_text, map_texts, quoted, record, sliced
 from gleanery.llm.components import components
 from gleanery.llm.words import BYTE_VALUES, LOWER, U, compact, hashes, mixed, run_hashes, window_starts
 
@@ -39,7 +42,9 @@ BANDS = REGISTERS // ROWS
 B, LARGEST = 1.08, 20.0  # base of the registers; an exponential value above which a register is 0
 #: Log-likelihood by which 0.75 may fall short of the best similarity before a pair is ruled out: over five standard deviations.
 SLACK = 15.0
-BLOCK = 512
+#: Rows and shingles of a block of a bucket, and members of a bucket that meet its pivot in one place.
+BLOCK, BLOCK_SHINGLES, PART = 512, 150_000, 5000
+UNNAMED = 1 << 62
 _rng = np.random.default_rng(71)
 FACTORS = _rng.integers(1, 2**63, REGISTERS, dtype=np.uint64) | U(1)
 SHIFTS = _rng.integers(1, 2**63, REGISTERS, dtype=np.uint64)
@@ -80,23 +85,26 @@ def registers(value: np.ndarray, begins: np.ndarray, block: int = 1 << 16) -> np
     return out
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """Rows of (doc_id, text) with ``node``: the doc_id, or without one a number beyond all doc_ids by the text's hash."""
+    return docs.withColumn("node", F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED))))
+
+
 def sketched(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, low, high, registers): set size, a 128-bit hash of the set and its registers; nulls for no set."""
+    """(node, doc_id, n_shingles, digest, registers) of rows (node, doc_id, text): set size, SHA-256 of the words and registers; nulls for no set."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        value, begins = shingles([(t or "").encode() for t in batch.column(1).to_pylist()], width)
+        texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
+        value, begins = shingles(texts, width)
         n = np.diff(begins)
         full = np.flatnonzero(n)
-        with np.errstate(over="ignore"):
-            sums = [np.concatenate([[U(0)], np.cumsum(mixed(value * FACTORS[k]), dtype=U)]) for k in (0, 1)]
-            low, high = ((s[begins[1:]] - s[begins[:-1]]).view(np.int64) for s in sums)
         rows = registers(value, np.concatenate([begins[full], [len(value)]])) if len(full) else np.zeros((0, REGISTERS), np.uint8)
-        packed: list[bytes | None] = [None] * len(n)
+        packed, digest = ([None] * len(n) for _ in range(2))
         for k, row in zip(full.tolist(), rows, strict=True):
-            packed[k] = row.tobytes()
-        return record(doc_id=batch.column(0), n_shingles=n.astype(np.int64), low=pa.array(low, mask=n == 0), high=pa.array(high, mask=n == 0), registers=pa.array(packed, pa.binary()))
+            packed[k], digest[k] = row.tobytes(), hashlib.sha256(b" ".join(texts[k].lower().split())).digest()  # bytes.lower changes A-Z only
+        return record(node=batch.column(0), doc_id=batch.column(1), n_shingles=n.astype(np.int64), digest=pa.array(digest, pa.binary()), registers=pa.array(packed, pa.binary()))
 
-    return map_texts(docs, kernel, "doc_id long, n_shingles long, low long, high long, registers binary")
+    return map_texts(docs.select("node", "doc_id", "text"), kernel, "node long, doc_id long, n_shingles long, digest binary, registers binary")
 
 
 def band_keys(rows: np.ndarray) -> np.ndarray:
@@ -138,65 +146,79 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def passing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those that the registers do not rule out."""
+    """Of pairs (a, part, b), those that the registers do not rule out. A pivot ``a`` meets each part of its members in a place of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 x = batch.slice(at, 8192)
-                n = [x.column(k).to_numpy().astype(np.float64) for k in (2, 3)]
-                keep = pa.array(may_reach(matrix(x.column(4)), matrix(x.column(5)), *n, percent))
-                yield record(a=x.column(0).filter(keep), b=x.column(1).filter(keep))
+                n = [x.column(k).to_numpy().astype(np.float64) for k in (3, 4)]
+                keep = pa.array(may_reach(matrix(x.column(5)), matrix(x.column(6)), *n, percent))
+                yield record(**{c: x.column(k).filter(keep) for k, c in enumerate(("a", "part", "b"))})
+
+    one = lambda side: sets.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("registers").alias(f"registers_{side}"))
+    pivots = pairs.select("a", "part").distinct().join(one("a"), "a")
+    both = pairs.join(one("b"), "b").join(pivots, ["a", "part"])
+    return both.select("a", "part", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(run, "a long, part int, b long")
+
+
+def shingle_set(text: str, width: int) -> set:
+    words = text.encode().lower().split()
+    return set(zip(*[words[k:] for k in range(width)], strict=False)) if len(words) >= width else {tuple(words)}
+
+
+def alike(one: set, two: set, percent: int) -> bool:
+    common = len(one & two)
+    return 100 * common >= percent * (len(one) + len(two) - common)
+
 
-    one = lambda side: sets.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("registers").alias(f"registers_{side}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b")
-    return both.select("a", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(run, "a long, b long")
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the distinct ``nodes`` (node)."""
+    return docs.filter("text is not null").join(nodes, "node", "left_semi").select("node", "text")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """Of pairs (a, b), those whose full sets have a similarity of ``percent`` or more."""
+    """Of pairs (a, part, b), those whose full sets have a similarity of ``percent`` or more, as (a, b)."""
     pairs = checkpointed(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = checkpointed(docs.filter("text is not null").join(wanted, "doc_id", "left_semi"))
-
-    def shingle_set(text: str) -> set:
-        words = text.encode().lower().split()  # bytes.lower changes A-Z only
-        return set(zip(*[words[k:] for k in range(width)], strict=False)) if len(words) >= width else {tuple(words)}
+    pivots = pairs.select("a", "part").distinct()
+    texts = checkpointed(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs))
+    first = pivots.join(texts, pivots["a"] == texts["node"]).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    then = pairs.join(texts, pairs["b"] == texts["node"]).select("a", "part", "b", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
+        at, own = None, []  # the place, and the sets of its pivot, which comes before its members
         for batch in batches:
-            for x in sliced(batch, "text_a"):
-                keep = []
-                for a, text_a, text_b in zip(x.column(0).to_pylist(), x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
-                    if last != (a, text_a):
-                        last, own = (a, text_a), shingle_set(text_a)
-                    other = shingle_set(text_b)
-                    common = len(own & other)
-                    keep.append(100 * common >= percent * (len(own) + len(other) - common))
-                yield record(a=x.column(0).filter(pa.array(keep, pa.bool_())), b=x.column(1).filter(pa.array(keep, pa.bool_())))
-
-    side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
+            for x in sliced(batch, "text"):
+                found = []
+                for a, part, b, text in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                    one = shingle_set(text, width)
+                    if b is None:
+                        at, own = (a, part), [*own, one] if at == (a, part) else [one]
+                    elif any(alike(one, other, percent) for other in own):
+                        found.append((a, b))
+                a, b = zip(*found, strict=True) if found else ((), ())
+                yield record(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
+
+    both = first.unionByName(then).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return checkpointed(both.mapInArrow(run, "a long, b long").distinct())
 
 
 def across(members: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """Links (a, b) between members of one bucket with different labels; of each group only as many as join its labels.
 
-    members: (key, doc_id, label, n_shingles, registers, size). A bucket is cut into blocks by hash, and each pair of blocks is
-    a group of at most about 2 * BLOCK rows, whatever the bucket's size. A first pass by registers keeps the members
-    that have a pair not ruled out; a second one compares their full sets. Both give rows by member, not by pair.
+    members: (key, node, label, n_shingles, registers, size, shingles), the last two of the bucket. A bucket is cut into blocks by hash, and each pair of
+    blocks is a group of at most about 2 * BLOCK rows and 2 * BLOCK_SHINGLES shingles, whatever the bucket's size. A first pass by registers
+    keeps the members that have a pair not ruled out; a second one compares their full sets. Both give rows by member, not by pair.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "label", "n_shingles", "registers")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.least(F.col("shingles") / BLOCK_SHINGLES, F.col("size")))).cast("int")
+    placed = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label", "n_shingles", "registers")
     share = percent / 100
     least_same = int(REGISTERS * share - 7 * np.sqrt(REGISTERS * share * (1 - share)))  # seven standard deviations below
 
     def likely(group: pa.Table) -> pa.Table:
         key = int(group.column("key")[0].as_py())
-        own, ids, labels, n = (group.column(c).to_numpy() for c in ("own", "doc_id", "label", "n_shingles"))
+        own, ids, labels, n = (group.column(c).to_numpy() for c in ("own", "node", "label", "n_shingles"))
         rows = matrix(group.column("registers").combine_chunks())
         keys = band_keys(rows)
         x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
@@ -215,15 +237,16 @@ def across(members: DataFrame, docs: DataFrame, percent: int, width: int) -> Dat
                 i, j = a[k : k + 8192], b[k : k + 8192]
                 fits = may_reach(rows[i], rows[j], n[i].astype(float), n[j].astype(float), percent)
                 found[i[fits]] = found[j[fits]] = True
-        return group.select(["key", "x", "y", "own", "doc_id", "label"]).filter(pa.array(found))
+        return group.select(["key", "x", "y", "own", "node", "label"]).filter(pa.array(found))
 
-    kind = "key long, x int, y int, own int, doc_id long, label long"
+    kind = "key long, x int, y int, own int, node long, label long"
     left = checkpointed(placed.groupBy("key", "x", "y").applyInArrow(likely, kind))
-    texts = docs.filter("text is not null").join(left.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = texts_of(left.select("node").distinct(), docs)
 
     def exact(group: pa.Table) -> pa.Table:
-        own, ids, labels = (group.column(c).to_numpy() for c in ("own", "doc_id", "label"))
-        value, begins = shingles([t.encode() for t in group.column("text").to_pylist()], width)
+        own, ids, labels = (group.column(c).to_numpy() for c in ("own", "node", "label"))
+        texts = group.column("text").to_pylist()
+        value, begins = shingles([t.encode() for t in texts], width)
         _, value = np.unique(value, return_inverse=True)
         n, root = np.diff(begins), {}
 
@@ -237,48 +260,65 @@ def across(members: DataFrame, docs: DataFrame, percent: int, width: int) -> Dat
             mark = np.zeros(len(value) + 1, bool)
             mark[value[begins[k] : begins[k + 1]]] = True
             hits = np.concatenate([[0], np.cumsum(mark[value])])
-            common = hits[begins[1:]] - hits[begins[:-1]]
+            common, full = hits[begins[1:]] - hits[begins[:-1]], None
             for j in np.flatnonzero((100 * common >= percent * (n + n[k] - common)) & (labels != labels[k]) & (common > 0)).tolist():
                 one, two = find(int(labels[k])), find(int(labels[j]))
-                if one != two:
+                if one == two:
+                    continue
+                full = full or shingle_set(texts[k], width)
+                if alike(full, shingle_set(texts[j], width), percent):
                     root[max(one, two)] = min(one, two)
                     found.append((int(ids[k]), int(ids[j])))
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return left.join(texts, "doc_id").groupBy("key", "x", "y").applyInArrow(exact, "a long, b long").distinct()
+    return left.join(texts, "node").groupBy("key", "x", "y").applyInArrow(exact, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of (doc_id, n_shingles, component_id, kept), one for each input row."""
-    docs = id_and_text(docs, id_col, text_col)
+def labelled(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> DataFrame:
+    """Rows of (node, doc_id, n_shingles, least) for rows (node, doc_id, text): the least node of each one's component."""
     every = checkpointed(sketched(docs, width))
-    classes = checkpointed(every.filter("n_shingles > 0").groupBy("low", "high", "n_shingles").agg(F.min_by(F.struct("doc_id", "registers"), "doc_id").alias("one")).select("low", "high", "n_shingles", "one.*"))
-    sets = classes.filter("n_shingles >= 3 and doc_id is not null").select("doc_id", "n_shingles", "registers")  # smaller sets are linked to equal ones only
+    least = F.min_by(F.struct("node", "n_shingles", "registers"), "node").alias("one")
+    classes = checkpointed(every.filter("n_shingles > 0").groupBy("digest").agg(least).select("digest", "one.*"))
+    sets = classes.select("node", "n_shingles", "registers")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = band_keys(matrix(batch.column(1)))
+            keys = band_keys(matrix(batch.column(2)))
             flat, offsets = pa.array(keys.ravel()), pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
-            yield record(doc_id=batch.column(0), keys=pa.ListArray.from_arrays(offsets, flat))
+            yield record(node=batch.column(0), n=batch.column(1), keys=pa.ListArray.from_arrays(offsets, flat))
 
-    bands = sets.select("doc_id", "registers").mapInArrow(keyed, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
-    members = checkpointed(bands.join(shared, "key"))
-    stars = members.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    bands = sets.mapInArrow(keyed, "node long, n long, keys array<long>").select("node", "n", F.explode("keys").alias("key"))
+    shared = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("size > 1")
+    members = checkpointed(bands.join(shared, "key").select("key", "node", "pivot", "size", "shingles"))
+    part = F.pmod(F.xxhash64("b"), F.ceil(F.max("size") / PART)).cast("int").alias("part")
+    stars = members.filter("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(part).select("a", "part", "b")
     links = verified(passing(stars, sets, percent), docs, percent, width)
     found = checkpointed(components(links))
-    label = F.coalesce("least", "doc_id")
-    open_members = members.filter("size > 2").join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", label.alias("label"), "size")
+    label = F.coalesce("least", "m.node").alias("label")
+    open_members = members.filter("size > 2").alias("m").join(found.alias("f"), F.col("m.node") == F.col("f.node"), "left").select("key", "m.node", label, "size", "shingles")
     open_keys = open_members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    open_members = open_members.join(open_keys, "key", "left_semi").join(sets, "doc_id")
-    more = checkpointed(across(open_members.select("key", "doc_id", "label", "n_shingles", "registers", "size"), docs, percent, width))
+    open_members = open_members.join(open_keys, "key", "left_semi").join(sets, "node")
+    more = checkpointed(across(open_members, docs, percent, width))
     if not more.isEmpty():
         found = checkpointed(components(links.unionByName(more)))
-    named = classes.join(found, F.col("doc_id") == F.col("node"), "left").select("low", "high", F.col("n_shingles").alias("n"), F.coalesce("least", "doc_id").alias("component"))
-    out = every.alias("e").join(named.alias("c"), (F.col("e.low") == F.col("c.low")) & (F.col("e.high") == F.col("c.high")) & (F.col("e.n_shingles") == F.col("c.n")), "left")
-    component = F.coalesce(F.col("c.component"), F.col("e.doc_id"))
-    return out.select("e.doc_id", "e.n_shingles", component.alias("component_id"), F.col("e.doc_id").eqNullSafe(component).alias("kept"))
+    roots = classes.alias("c").join(found.alias("f"), F.col("c.node") == F.col("f.node"), "left").select(F.col("digest").alias("own"), F.coalesce("least", "c.node").alias("least"))
+    return every.join(roots, F.col("digest") == F.col("own"), "left").select("node", "doc_id", "n_shingles", F.coalesce("least", "node").alias("least"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of (doc_id, n_shingles, component_id, kept), one for each input row."""
+    rows = labelled(named(id_and_text(docs, id_col, text_col)), percent, width)
+    return rows.select("doc_id", "n_shingles", F.when(F.col("least") < UNNAMED, F.col("least")).alias("component_id"), (F.col("node") == F.col("least")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are the least of their component; rows without a set all stay."""
+    rows = named(id_and_text(docs, id_col, text_col))
+    kept = labelled(rows, percent, width).filter("node = least").select("node").distinct()
+    text = F.col(quoted(text_col)).cast("string")
+    own = F.coalesce(F.col(quoted(id_col)).cast("long"), F.xxhash64(text).bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED)))
+    return docs.join(kept.withColumnRenamed("node", "kept_node"), own == F.col("kept_node"), "left_semi")
 
 
 ORACLE = r"""
