@@ -104,9 +104,13 @@ def windows_by_brute_force(rows, width=20):
     return sorted(out)
 
 
-@pytest.mark.parametrize("few", [False, True])
-def test_substring_dedup(spark, monkeypatch, few):
+@pytest.mark.parametrize(("few", "hot"), [(False, 4 << 20), (True, 4 << 20), (False, 100), (True, 100)])
+def test_substring_dedup(spark, monkeypatch, few, hot):
+    """With small limits, minimisers' buckets are hot and their windows are dealt one by one."""
     monkeypatch.setattr(substring, "GATHER", 2000)
+    monkeypatch.setattr(substring, "HOT_BYTES", hot)
+    if hot == 100:
+        monkeypatch.setattr(substring, "BUCKET_BYTES", 2000)
     rnd = random.Random(5 + few)
     vocabulary = ["a", "b", "é"] if few else [f"w{i}" for i in range(300)]
     passages = [[rnd.choice(vocabulary) for _ in range(rnd.randint(20, 60))] for _ in range(3)]
@@ -120,6 +124,13 @@ def test_substring_dedup(spark, monkeypatch, few):
     assert sorted(map(tuple, got.collect())) == windows_by_brute_force(rows)
 
 
+def test_substring_dedup_of_rows_without_an_id_and_of_repeated_rows(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(None, passage + " one"), (None, passage + " one"), (None, "two " + passage), (5, passage), (5, passage), (9, None)]
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring.dedup_substrings(frame(spark, rows, "doc_id long, text string")).collect())
+    assert got == Counter({(5, 30, 0): 2, (9, 0, 0): 1, (None, 31, 30): 3})
+
+
 def components_by_brute_force(rows):
     sets = {}
     for i, t in rows:
@@ -154,6 +165,17 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == components_by_brute_force(rows)
 
 
+def test_near_duplicates_without_ids_and_of_hot_pivots(spark, monkeypatch):
+    """Rows without a doc_id link as others do; a pivot meets its members in parts."""
+    monkeypatch.setattr(near_dup, "PART", 3)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in range(0, 200, 10)]
+    rows = [(None, texts[0]), (7, texts[1]), (None, " ".join(base[:100]) + " end"), *((20 + k, t) for k, t in enumerate(texts[2:])), (None, "only here now"), (None, "only here now")]
+    got = near_dup.near_duplicates(frame(spark, rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got if r["n_shingles"] > 150) == Counter([(None, 7, False), (7, 7, True), *((20 + k, 7, False) for k in range(18))])
+    assert Counter((r["component_id"], r["kept"]) for r in got if r["n_shingles"] < 150) == Counter({(None, True): 3})
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(1)
     value = np.unique(rng.integers(1, 2**63, 4000, dtype=np.uint64))
@@ -220,10 +242,10 @@ def test_equal_fingerprints_keep_their_members(spark):
 
 
 def test_segments_are_maximal():
-    scorer = toxicity.Scorer(np.zeros(0, np.int64), np.zeros(0), -0.5)
+    scorer = toxicity.Scorer(np.zeros(0, np.int64), np.zeros((0, toxicity.FOLDS + 1)))
     rnd = np.random.default_rng(2)
     for _ in range(300):
-        x = np.where(rnd.random(12) < 0.4, rnd.integers(1, 5, 12).astype(float), -0.5)
+        x = np.where(rnd.random(12) < 0.4, rnd.integers(1, 5, 12).astype(float), -rnd.integers(1, 6, 12) / 4)
         sums = np.concatenate([[0], np.cumsum(x)])
 
         def best(low, high, sums=sums):
@@ -321,10 +343,39 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(n - k[1]) <= 1 for k, n in taken.items())
     slots = mixing.schedule(mixing.targets(mixing.sized(frame(spark, rows))), 64).collect()
     assert len({s["slot"] for s in slots}) == len(slots)
-    order = Counter()
-    for s in sorted(slots, key=lambda s: s["slot"]):  # ranks rise with the schedule within a source
+    order, whole = Counter(), Counter(s["number"] for s in slots)
+    bound = len(slots).bit_length() + 1
+    for n, s in enumerate(sorted(slots, key=lambda s: s["slot"])):  # ranks rise with the schedule within a source
         assert s["rank"] == order[s["number"]]
         order[s["number"]] += 1
+        for source, of in whole.items():  # every prefix of the schedule holds each source close to its share
+            assert abs(order[source] - (n + 1) * of / len(slots)) <= bound
+    assert bound < len(slots) / 10
+
+
+def test_mix_as_documents_comes_in_schedule_order(spark):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(["w"] * rnd.randint(1, 60)), None, rnd.choice(["big"] * 9 + ["small"])) for i in range(300)] + [(None, None, None, None), (None, "no id here", None, None), (7000, "same row", None, "big"), (7000, "same row", None, "big")]
+    docs = frame(spark, rows)
+    found = mixing.mix(docs, block=64).collect()
+    times = Counter()
+    for r in found:
+        assert len(r["slots"]) <= 3 and (r["taken"] > 0) == (r["first_slot"] is not None)
+        times[r["doc_id"]] += len(r["slots"])
+    out = [r["doc_id"] for r in mixing.in_schedule_order(docs, block=64).collect()]
+    assert Counter(out) == +times
+    expected = sorted((slot, r["doc_id"]) for r in found if r["doc_id"] != 7000 for slot in r["slots"])
+    at = {}
+    for place, (slot, doc) in enumerate(expected):
+        at.setdefault(slot, set()).add(doc)
+    seen = [d for d in out if d != 7000]
+    for slot in sorted(at):  # documents of one slot in any order
+        here, seen = seen[: sum(1 for s, _ in expected if s == slot)], seen[sum(1 for s, _ in expected if s == slot) :]
+        assert set(here) == at[slot]
+    words = Counter()
+    for r in found:
+        words[r["source_size"], r["target"]] += len(r["slots"]) * r["size"]
+    assert all(abs(n - target) <= 60 for (_, target), n in words.items())
 
 
 def test_repeated_words_and_fertility():
