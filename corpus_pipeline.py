@@ -1,9 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each applying an operator of ``gleanery.llm``.
 
 Each stage takes all that its predecessor kept and, but for the last, returns the columns of documents; other columns are
-dropped, so none clashes. Rows keep their doc_id; where a text changes, n_chars is counted anew. Rows of one doc_id
-are one document: a stage keeps, drops or repeats them alike. A null doc_id is never toxic and has no duplicates. Null
-and empty texts stay as they are up to mixing, which takes documents with words only. Empty tables give empty results.
+dropped, so none clashes. Rows keep their doc_id; where a text changes, n_chars is counted anew. A row is judged by its own text, with or
+without a doc_id. Null and empty texts stay as they are up to mixing, which takes documents with words only. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,14 +18,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator predicts as toxic go."""
-    rejected = toxicity.toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    return toxicity.without_toxic(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id stays; so do documents without a text."""
-    kept = near_dup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+    """Of each group of near duplicates the document with the least doc_id stays; so do documents without words."""
+    return near_dup.without_near_duplicates(docs.select(*COLUMNS))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +32,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as many times as the mix takes it, rounded to whole documents: 0 to 3."""
-    docs = docs.select(*COLUMNS)
-    taken = mixing.mix(docs).filter("size > 0").select("doc_id", F.expr("cast(floor(taken / size + 0.5) as int)").alias("times")).filter("times > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("times").alias("times"))
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id"])).withColumn("copy", F.explode(F.expr("sequence(1, times)"))).select(*COLUMNS)
+    """Documents in the order of the mix's schedule, each once for every slot that takes its first word: 0 to 3 times."""
+    return mixing.in_schedule_order(docs.select(*COLUMNS))
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
