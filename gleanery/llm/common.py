@@ -42,13 +42,13 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, in the reliable folder that the session names (``spark.checkpoint.dir``, shared by a cluster's machines)."""
+    """The same rows with their lineage cut, in the reliable folder that the session names.
+
+    That is ``spark.checkpoint.dir``, which a cluster's machines share. Where it is unset, a folder in the warehouse, shared as well, is used.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            raise RuntimeError("set spark.checkpoint.dir (or SparkContext.setCheckpointDir) to a folder that all machines share")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return df.checkpoint(eager=True)
 
 
