@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -73,10 +74,11 @@ def dictionary_entities(docs: DataFrame, terms: dict[str, str]) -> DataFrame:
                 low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
                 edge = lambda k: k < 0 or k >= len(low) or not (low[k].isalnum() or low[k] == "-")  # noqa: E731, B023
                 spans = [(-n, end - n + 1, end + 1, term, label) for end, (n, term, label) in found.iter(low) if edge(end - n) and edge(end + 1)]
-                taken: list[tuple[int, int]] = []
+                taken: list[tuple[int, int]] = []  # by start
                 for _, start, past, term, label in sorted(spans):
-                    if all(past <= a or start >= b for a, b in taken):
-                        taken.append((start, past))
+                    k = bisect(taken, (start, past))
+                    if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or taken[k][0] >= past):
+                        taken.insert(k, (start, past))
                         rows.append((doc_id, start, past, term, label))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "past", "term", "label"]) if rows else pd.DataFrame({"doc_id": pd.Series(dtype="int64"), "start": pd.Series(dtype="int32"), "past": pd.Series(dtype="int32"), "term": pd.Series(dtype=str), "label": pd.Series(dtype=str)})
 
@@ -99,7 +101,9 @@ def first_family(values: DataFrame, families: DataFrame) -> DataFrame:
 
 def subtree(spark, edges: DataFrame, roots: list[str], depth: int) -> DataFrame:
     """(node, depth) below the roots in (parent, child), breadth first to a depth."""
-    edges.createOrReplaceTempView("subtree_edges")
-    start = ", ".join(f"('{r}', 0)" for r in roots)
-    return spark.sql(f"""with recursive t(node, depth) as (select * from values {start} as v(node, depth)
-        union all select child, depth + 1 from t join subtree_edges on parent = node where depth < {depth}) select node, min(depth) as depth from t group by node""")
+    start = spark.createDataFrame([(r,) for r in roots], "node string")
+    return spark.sql(
+        """with recursive t(node, depth) as (select node, 0 from {start}
+        union all select child, depth + 1 from t join {edges} e on e.parent = node where depth < :depth) select node, min(depth) as depth from t group by node""",
+        args={"depth": depth}, start=start, edges=edges,
+    )

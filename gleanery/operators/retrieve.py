@@ -2,30 +2,42 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import dot, tokens
+from gleanery.sources.stages import small, staged
 
 K1, B = 1.2, 0.75
 QUERY_TOKENS = 50
 
 
-def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
+EVERY = "\0"  # stands for each document once among the postings
+
+
+def bm25(queries: DataFrame, docs: DataFrame, by: str | None = None) -> DataFrame:
     """(query_id, doc_id, score) of queries (query_id, text) and documents (doc_id, text) that share a token.
 
-    Only postings of query tokens are exploded: tokens are filtered in the array before, by a join on the query terms after.
+    Documents are read once: their tokens meet the query terms, a broadcast of checked size, right behind the scan, and what is left, with one entry
+    for each document, is staged for frequencies, mean length and scores. With ``by``, a column of both sides, a query sees only
+    documents with its own value; frequencies still count all.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.slice(tokens(F.col("text")), 1, QUERY_TOKENS))).alias("term"))
-    held = docs.select("doc_id", tokens(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens"))
-    sizes = held.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    counts = held.select("doc_id", "length", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    postings = counts.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+    extra = [by] if by else []
+    terms = queries.select("query_id", *extra, F.explode(F.array_distinct(F.slice(tokens(F.col("text")), 1, QUERY_TOKENS))).alias("term"))
+    parts = F.split(F.lower("text"), "[^a-z0-9]+")
+    held = docs.select("doc_id", *extra, parts.alias("parts")).withColumn("length", F.size("parts") - (F.element_at("parts", 1) == "").cast("int") - ((F.size("parts") > 1) & (F.element_at("parts", -1) == "")).cast("int"))
+    wanted = terms.select("term").distinct().unionByName(terms.sparkSession.createDataFrame([(EVERY,)], "term string"))
+    found = held.select("doc_id", *extra, "length", F.explode(F.concat(F.array(F.lit(EVERY)), "parts")).alias("term")).join(small(wanted), "term")
+    postings = staged(found.groupBy("doc_id", *extra, "length", "term").agg(F.count("*").alias("tf")))
+    sizes = postings.filter(F.col("term") == EVERY).agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+    postings = postings.filter(F.col("term") != EVERY)
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     weights = terms.join(frequency, "term").crossJoin(F.broadcast(sizes))  # one row of totals
-    scored = weights.join(postings, "term").groupBy("query_id", "doc_id").agg(F.sum(idf * gain).alias("score"))
+    scored = weights.join(postings, ["term", *extra]).groupBy("query_id", "doc_id").agg(F.sum(idf * gain).alias("score"))
     return scored.withColumn("score", F.round("score", 6))
 
 
@@ -55,15 +67,27 @@ def literal(queries: DataFrame, docs: DataFrame) -> DataFrame:
     phrases = queries.select("query_id", F.col("text").alias("phrase"), anchor.alias("token"))
     words = docs.select("doc_id", "text", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     place = F.expr("locate(phrase, text)")
-    anchored = words.join(F.broadcast(phrases.filter("token is not null")), "token").select("query_id", "doc_id", place.alias("place")).filter("place > 0")
-    short = docs.join(F.broadcast(phrases.filter("token is null")), place > 0).select("query_id", "doc_id", place.alias("place"))
+    anchored = words.join(small(phrases.filter("token is not null")), "token").select("query_id", "doc_id", place.alias("place")).filter("place > 0")
+    short = docs.join(small(phrases.filter("token is null")), place > 0).select("query_id", "doc_id", place.alias("place"))
     return anchored.unionByName(short)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact nearest by dot product of a bounded set of queries (query_id, vector) against all (doc_id, vector), ties kept."""
-    pairs = vectors.crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("asked")))).filter("query_id <> doc_id")
-    return top_with_ties(pairs.select("query_id", "doc_id", F.round(dot(F.col("asked"), F.col("vector")), 6).alias("score")), k)
+def starts(text: Column, phrase: Column) -> Column:
+    """0-based starts of all occurrences of a phrase, from left to right, none overlapping."""
+    parts = F.split(text, F.concat(F.lit("\\Q"), F.replace(phrase, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)
+    before = lambda i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda n, p: n + F.length(p)) + i * F.length(phrase)
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(0), F.size(parts) - 2), before)).otherwise(F.array().cast("array<int>"))
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2000) -> DataFrame:
+    """Exact nearest by dot product of stated queries (query_id, vector) against all (doc_id, vector), ties kept; the queries are broadcast in blocks."""
+    blocks = max(1, -(-queries.count() // block))
+    asked = queries.select("query_id", F.col("vector").alias("asked")).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    best = []
+    for part in range(blocks):
+        pairs = vectors.crossJoin(F.broadcast(asked.filter(F.col("part") == part))).filter("query_id <> doc_id")
+        best.append(top_with_ties(pairs.select("query_id", "doc_id", F.round(dot(F.col("asked"), F.col("vector")), 6).alias("score")), k))
+    return reduce(DataFrame.unionByName, best)
 
 
 def lanes(first: DataFrame, *others: tuple[DataFrame, float]) -> DataFrame:

@@ -9,11 +9,11 @@ from gleanery.functions.text import sentences
 from gleanery.operators import context as C
 from gleanery.plans.registry import LINES, Tables, query
 
-CENTERS_SQL = "cen as (select conv_id, turn as center from conversations where turn % 3 = 1)"
+CENTERS_SQL = "cen as (select conv_id, turn as center from conversations)"
 
 
 def centers(t: Tables) -> DataFrame:
-    return t.conversations.filter("turn % 3 = 1").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("center"))
+    return t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("center"))
 
 
 def turns(t: Tables) -> DataFrame:
@@ -47,10 +47,10 @@ def context_sort(t: Tables) -> DataFrame:
     return held.select("doc_id", "center", F.array_join(F.transform("k", lambda x: x["pos"].cast("string")), ",").alias("turns"))
 
 
-@query(f"""with {LINES}, s as (select doc_id, pos, unnest(ss) as sentence, generate_subscripts(ss, 1)::int - 1 as nth from (select doc_id, pos, list_filter(string_split(regexp_replace(line, '([.!?])[ \\t\\n\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as ss from lines where doc_id % 10 = 0))
+@query(f"""with {LINES}, s as (select doc_id, pos, unnest(ss) as sentence, generate_subscripts(ss, 1)::int - 1 as nth from (select doc_id, pos, list_filter(string_split(regexp_replace(line, '([.!?])[ \\t\\n\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as ss from lines))
 select doc_id, pos::int as pos, nth, concat_ws(' ', lag(sentence) over w, sentence, lead(sentence) over w) as context from s window w as (partition by doc_id, pos order by nth)""")
 def sentence_hierarchical(t: Tables) -> DataFrame:
     """Each sentence with the one before and the one after it in its line."""
-    rows = t.lines().filter("doc_id % 10 = 0").select("doc_id", "pos", F.posexplode(sentences(F.col("line"))).alias("nth", "sentence"))
+    rows = t.lines().select("doc_id", "pos", F.posexplode(sentences(F.col("line"))).alias("nth", "sentence"))
     w = Window.partitionBy("doc_id", "pos").orderBy("nth")
     return rows.select("doc_id", "pos", "nth", F.concat_ws(" ", F.lag("sentence").over(w), "sentence", F.lead("sentence").over(w)).alias("context"))

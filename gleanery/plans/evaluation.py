@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import wilson
@@ -76,6 +76,10 @@ def run_delta(t: Tables) -> DataFrame:
 
 @query("with s as (select lang, list_sort(list(n_chars)) as v from documents group by lang) select lang, round(list_avg(v), 4)::double as mean, round(list_median(v), 4)::double as median, v[len(v) // 4 + 1] as p25, v[3 * len(v) // 4 + 1] as p75 from s")
 def score_distribution(t: Tables) -> DataFrame:
-    held = F.sort_array(F.collect_list("n_chars"))
-    at = lambda k: F.element_at(held, (F.floor(k * F.size(held) / 4) + 1).cast("int"))
-    return t.documents.groupBy("lang").agg(F.round(F.avg("n_chars"), 4).alias("mean"), F.round(F.median("n_chars"), 4).alias("median"), at(1).alias("p25"), at(3).alias("p75"))
+    """Mean, median and the values at floor(n / 4) and floor(3n / 4), from counts of equal values and their running sum."""
+    counts = t.documents.groupBy("lang", "n_chars").agg(F.count("*").alias("c"))
+    own = Window.partitionBy("lang")
+    ranked = counts.withColumn("upto", F.sum("c").over(own.orderBy("n_chars"))).withColumn("n", F.sum("c").over(own))
+    at = lambda k: F.min(F.when(F.col("upto") > F.floor(k * F.col("n") / 4), F.col("n_chars")))
+    middle = (F.min(F.when(F.col("upto") >= F.ceil(F.col("n") / 2), F.col("n_chars"))) + F.min(F.when(F.col("upto") >= F.floor(F.col("n") / 2) + 1, F.col("n_chars")))) / 2
+    return ranked.groupBy("lang").agg(F.round(F.sum(F.col("n_chars") * F.col("c")) / F.sum("c"), 4).alias("mean"), F.round(middle, 4).alias("median"), at(1).alias("p25"), at(3).alias("p75"))

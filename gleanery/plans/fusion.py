@@ -34,15 +34,15 @@ def best_per_retriever(t: Tables) -> DataFrame:
     return hits(t).groupBy("query_id", "retriever").agg(F.max("score").alias("best"), F.count("*").alias("n"))
 
 
-@query(f"with {HITS_SQL} select query_id, doc_id, round(sum({CAPPED_SQL}), 6)::double as score, count(*) as n_sources from hits group by query_id, doc_id")
+@query(f"with {HITS_SQL} select query_id, doc_id, round(sum({CAPPED_SQL}), 4)::double as score, count(*) as n_sources from hits group by query_id, doc_id")
 def hybrid_score(t: Tables) -> DataFrame:
-    return fuse.retriever_sum(hits(t))
+    return fuse.retriever_sum(hits(t)).withColumn("score", F.round("score", 4))
 
 
 @query(f"with {R.FACTS_SQL}, n as (select distinct query_id, fa.doc_id from fq join fa using (slot, value) where slot = 'brand'), j as (select query_id, n.doc_id, case fq.slot when 'brand' then 4.0 when 'type' then 2.5 else 1.2 end * (fq.value = fa.value)::int as s from n join fq using (query_id) join fa on fa.doc_id = n.doc_id and fa.slot = fq.slot) select query_id, doc_id, round(sum(s) / 7.7, 6)::double as score from j group by query_id, doc_id")
 def slot_weighted_jaccard(t: Tables) -> DataFrame:
     every = R.facts(t)
-    asked = every.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    asked = every.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
     return fuse.weighted_overlap(asked, every, R.SLOTS).join(asked.filter("slot = 'brand'").join(every.filter("slot = 'brand'"), ["slot", "value"]).select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
 
 
@@ -51,25 +51,25 @@ def relation_score(t: Tables) -> DataFrame:
     return R.relation_hits(t).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.max("score").alias("best"))
 
 
-@query("""with b as (select p_partkey, p_brand as brand, string_split(p_name, ' ') as ws from part where p_partkey % 20 = 0)
-select a.p_partkey as a, b.p_partkey as b, round(len(list_intersect(list_distinct(a.ws), list_distinct(b.ws))) / greatest(len(list_distinct(a.ws)), len(list_distinct(b.ws))), 6) as overlap from b a join b on a.brand = b.brand and a.p_partkey < b.p_partkey""")
+@query("""with b as (select p_partkey, p_brand as brand, string_split(p_name, ' ') as ws from part)
+select a.p_partkey as a, b.p_partkey as b, round(len(list_intersect(list_distinct(a.ws), list_distinct(b.ws))) / greatest(len(list_distinct(a.ws)), len(list_distinct(b.ws))), 6) as overlap from b a join b on a.brand = b.brand and a.p_partkey % 20 = 0 and a.p_partkey <> b.p_partkey""")
 def identity_overlap(t: Tables) -> DataFrame:
     """Shared words over the larger set, among parts of a brand."""
-    held = t.part.filter("p_partkey % 20 = 0").select("p_partkey", F.col("p_brand").alias("brand"), F.array_distinct(F.split("p_name", " ")).alias("ws"))
-    a, b = held.select(F.col("p_partkey").alias("a"), "brand", F.col("ws").alias("x")), held.select(F.col("p_partkey").alias("b"), "brand", F.col("ws").alias("y"))
-    return a.join(b, "brand").filter("a < b").select("a", "b", F.round(F.size(F.array_intersect("x", "y")) / F.greatest(F.size("x"), F.size("y")), 6).alias("overlap"))
+    held = t.part.select("p_partkey", F.col("p_brand").alias("brand"), F.array_distinct(F.split("p_name", " ")).alias("ws"))
+    a, b = held.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("a"), "brand", F.col("ws").alias("x")), held.select(F.col("p_partkey").alias("b"), "brand", F.col("ws").alias("y"))
+    return a.join(b, "brand").filter("a <> b").select("a", "b", F.round(F.size(F.array_intersect("x", "y")) / F.greatest(F.size("x"), F.size("y")), 6).alias("overlap"))
 
 
 @query(f"""with {HITS_SQL}, c as (select query_id, doc_id, max((retriever = 'literal')::int) as exact, sum({CAPPED_SQL}) as raw from hits group by 1, 2)
-select query_id, doc_id, round(raw + case when exact = 0 and d.text not like '%@%' then -0.4 else 0 end, 6)::double as score from c join documents d using (doc_id)""")
+select query_id, doc_id, round(raw + case when exact = 0 and d.text not like '%@%' then -0.4 else 0 end, 4)::double as score from c join documents d using (doc_id)""")
 def zero_identity_penalty(t: Tables) -> DataFrame:
     """A candidate with neither a verbatim match nor an address loses 0.4."""
     scored = fuse.retriever_sum(hits(t)).drop("n_sources").join(R.literal_search(t), ["query_id", "doc_id"], "left")
     found = F.col("place").isNotNull() | F.contains("text", F.lit("@"))
-    return scored.join(t.documents.select("doc_id", "text"), "doc_id").select("query_id", "doc_id", F.round(F.col("score") + fuse.absence_penalty(F.lit(True), found, -0.4), 6).alias("score"))
+    return scored.join(t.documents.select("doc_id", "text"), "doc_id").select("query_id", "doc_id", F.round(F.col("score") + fuse.absence_penalty(F.lit(True), found, -0.4), 4).alias("score"))
 
 
-@query(f"""with {HITS_SQL}, c as (select query_id, doc_id, round(sum({CAPPED_SQL}), 6) as raw from hits group by 1, 2)
+@query(f"""with {HITS_SQL}, c as (select query_id, doc_id, sum({CAPPED_SQL}) as raw from hits group by 1, 2)
 select query_id, doc_id, round(raw * case when lang = 'en' then 1.25 else 1 end * case when doc_id % 3 = 1 then 0.7 when doc_id % 3 = 2 then 0.82 else 1 end, 4)::double as score from c join documents d using (doc_id)""")
 def section_multiplier(t: Tables) -> DataFrame:
     """Section and context multipliers on the fused score."""

@@ -36,10 +36,10 @@ def asof_orders(t: Tables) -> DataFrame:
     return e.unionByName(o).withColumn("held", held).filter("event_id is not null and held is not null").select("event_id", F.col("held.o").alias("o_orderkey"))
 
 
-@query("select p_partkey, l_orderkey, l_linenumber, l_suppkey from part join lineitem on l_partkey = p_partkey and l_quantity between p_size - 1 and p_size + 1 where p_partkey % 10 = 0")
+@query("select p_partkey, l_orderkey, l_linenumber, l_suppkey from part join lineitem on l_partkey = p_partkey and l_quantity between p_size - 1 and p_size + 1")
 def range_join(t: Tables) -> DataFrame:
     """Line items of a part whose quantity lies near its size."""
-    both = t.part.filter("p_partkey % 10 = 0").join(t.lineitem, F.col("l_partkey") == F.col("p_partkey"))
+    both = t.part.join(t.lineitem, F.col("l_partkey") == F.col("p_partkey"))
     return both.filter(F.col("l_quantity").between(F.col("p_size") - 1, F.col("p_size") + 1)).select("p_partkey", "l_orderkey", "l_linenumber", "l_suppkey")
 
 
@@ -62,8 +62,8 @@ def union_intersect_except(t: Tables) -> DataFrame:
     return count(a.intersect(b), "both").unionByName(count(a.subtract(b), "first")).unionByName(count(a.union(b).distinct(), "either"))
 
 
-@query("select c_custkey, o_orderkey, ntile(4) over (partition by c_mktsegment order by o_totalprice, o_orderkey)::int as quarter, dense_rank() over (partition by c_custkey order by o_orderpriority)::int as dense from customer join orders on o_custkey = c_custkey where c_custkey % 10 = 0")
+@query("select c_custkey, o_orderkey, ntile(4) over (partition by c_mktsegment order by o_totalprice, o_orderkey)::int as quarter, dense_rank() over (partition by c_custkey order by o_orderpriority)::int as dense from customer join orders on o_custkey = c_custkey")
 def ranking_windows(t: Tables) -> DataFrame:
-    rows = t.customer.filter("c_custkey % 10 = 0").join(t.orders, F.col("o_custkey") == F.col("c_custkey"))
+    rows = t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"))
     quarter, dense = F.ntile(4).over(Window.partitionBy("c_mktsegment").orderBy("o_totalprice", "o_orderkey")), F.dense_rank().over(Window.partitionBy("c_custkey").orderBy("o_orderpriority"))
     return rows.select("c_custkey", "o_orderkey", quarter.alias("quarter"), dense.alias("dense"))

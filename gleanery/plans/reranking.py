@@ -38,24 +38,26 @@ def profile_weights(t: Tables) -> DataFrame:
 
 @query("""with s as (select s_suppkey, s_nationkey as nation, n_regionkey as region from supplier join nation on n_nationkey = s_nationkey)
 select a.s_suppkey as a, b.s_suppkey as b, case when a.s_suppkey = b.s_suppkey then 'EXACT' when a.nation = b.nation then 'SAME_FAMILY' when a.region = b.region then 'RELATED' else 'DIFFERENT' end as relation,
-case when a.s_suppkey = b.s_suppkey then 0.0 when a.nation = b.nation then -0.18 when a.region = b.region then -0.25 else -0.35 end::double as weight from s a join s b on a.s_suppkey % 10 = b.s_suppkey % 10""")
+case when a.s_suppkey = b.s_suppkey then 0.0 when a.nation = b.nation then -0.18 when a.region = b.region then -0.25 else -0.35 end::double as weight from s a join s b on a.region = b.region and a.s_suppkey % 20 = 0""")
 def drug_relation_graph(t: Tables) -> DataFrame:
-    """Relation of two names in a family tree, closest first, and its weight."""
-    s = t.supplier.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", F.col("s_nationkey").alias("nation"), F.col("n_regionkey").alias("region"), (F.col("s_suppkey") % 10).alias("k"))
-    a, b = s.select(F.col("s_suppkey").alias("a"), F.col("nation").alias("na"), F.col("region").alias("ra"), "k"), s.select(F.col("s_suppkey").alias("b"), F.col("nation").alias("nb"), F.col("region").alias("rb"), "k")
-    relation = F.when(F.col("a") == F.col("b"), "EXACT").when(F.col("na") == F.col("nb"), "SAME_FAMILY").when(F.col("ra") == F.col("rb"), "RELATED").otherwise("DIFFERENT")
+    """Relation of asked names (ids divisible by 20) to all of their region in a family tree, closest first, and its weight; names of other regions are DIFFERENT."""
+    s = t.supplier.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", F.col("s_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
+    a, b = s.filter("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("a"), F.col("nation").alias("na"), "region"), s.select(F.col("s_suppkey").alias("b"), F.col("nation").alias("nb"), "region")
+    relation = F.when(F.col("a") == F.col("b"), "EXACT").when(F.col("na") == F.col("nb"), "SAME_FAMILY").otherwise("RELATED")
     from gleanery.operators.fuse import mapped
 
-    return a.join(b, "k").select("a", "b", relation.alias("relation")).withColumn("weight", mapped(K.RELATION_WEIGHTS, F.col("relation"), 0.0))
+    return a.join(b, "region").select("a", "b", relation.alias("relation")).withColumn("weight", mapped(K.RELATION_WEIGHTS, F.col("relation"), 0.0))
 
 
-@query(r"""with a as (select item_id, d.doc_id, list_distinct(regexp_extract_all(b.text, '[0-9]+')) as x, list_distinct(regexp_extract_all(d.text, '[0-9]+')) as y from benchmark b join documents d on b.item_id = d.doc_id % 40)
-select item_id, doc_id, round(case when len(x) = 0 then 5 when len(y) = 0 then 4 when len(list_intersect(x, y)) = 0 then 0 else 4 + 6 * len(list_intersect(x, y)) / len(x) end, 6)::double as score from a""")
+@query(rf"""with {fusion.HITS_SQL}, p as (select distinct query_id, doc_id from hits),
+a as (select query_id, doc_id, list_distinct(regexp_extract_all(b.text, '[0-9]+')) as x, list_distinct(regexp_extract_all(d.text, '[0-9]+')) as y from p join benchmark b on item_id = query_id join documents d using (doc_id))
+select query_id, doc_id, round(case when len(x) = 0 then 5 when len(y) = 0 then 4 when len(list_intersect(x, y)) = 0 then 0 else 4 + 6 * len(list_intersect(x, y)) / len(x) end, 6)::double as score from a""")
 def study_id_score(t: Tables) -> DataFrame:
+    """Every item's fused candidates, by the identifiers that both texts have."""
     ids = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)))
-    asked = t.benchmark.select("item_id", ids("text").alias("x"))
-    held = t.documents.select("doc_id", (F.col("doc_id") % 40).alias("item_id"), ids("text").alias("y"))
-    return held.join(F.broadcast(asked), "item_id").select("item_id", "doc_id", F.round(K.study_score(F.col("x"), F.col("y")), 6).alias("score"))
+    rows = fusion.hits(t).select("query_id", "doc_id").distinct()
+    rows = rows.join(t.benchmark.select(F.col("item_id").alias("query_id"), ids("text").alias("x")), "query_id").join(t.documents.select("doc_id", ids("text").alias("y")), "doc_id")
+    return rows.select("query_id", "doc_id", F.round(K.study_score(F.col("x"), F.col("y")), 6).alias("score"))
 
 
 @query("select l_orderkey, l_linenumber, round(greatest(0, 0.3 * (1 - greatest(0.2 - l_quantity / 50, l_quantity / 50 - 0.6, 0) / 0.3)), 6)::double as bonus from lineitem")
@@ -67,13 +69,13 @@ KIND = "case event_type when 'click' then 'count' when 'view' then 'p' when 'err
 
 
 @query(f"""with e as (select event_id, user_id, {KIND} as kind, value, (props->>'$.k')::int as k from events)
-select a.event_id as a, b.event_id as b, a.kind from e a join e b on a.user_id = b.user_id and a.kind = b.kind and a.k = b.k and a.event_id < b.event_id
+select a.event_id as a, b.event_id as b, a.kind from e a join e b on a.user_id = b.user_id and a.kind = b.kind and a.k = b.k and a.event_id <> b.event_id and a.event_id % 20 = 0
 where case a.kind when 'count' then abs(a.value - b.value) = 0 when 'p' then abs(a.value - b.value) <= 5e-5 when 'share' then abs(a.value - b.value) <= 0.5 else abs(a.value - b.value) <= 0.015 * abs(a.value) end""")
 def tolerance_match(t: Tables) -> DataFrame:
     kind = F.when(F.col("event_type") == "click", "count").when(F.col("event_type") == "view", "p").when(F.col("event_type") == "error", "share").otherwise("ratio")
     e = t.events.select("event_id", "user_id", kind.alias("kind"), "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
     a, b = e.select(F.col("event_id").alias("a"), "user_id", "kind", "k", F.col("value").alias("x")), e.select(F.col("event_id").alias("b"), "user_id", "kind", "k", F.col("value").alias("y"))
-    return a.join(b, ["user_id", "kind", "k"]).filter(F.col("a") < F.col("b")).filter(K.within(F.col("x"), F.col("y"), F.col("kind"))).select("a", "b", "kind")
+    return a.join(b, ["user_id", "kind", "k"]).filter("a % 20 = 0 and a <> b").filter(K.within(F.col("x"), F.col("y"), F.col("kind"))).select("a", "b", "kind")
 
 
 OUTCOME_SQL = "oc as (select *, case when discount = 0 then 'UNKNOWN' when discount <= 0.02 then 'MATCH' when discount <= 0.04 then 'RELATED' when discount <= 0.06 then 'SPECIALIZATION' when discount <= 0.08 then 'GENERALIZATION' else 'CONFLICT' end as drug, case when tax >= 0.07 then 'CONFLICT' else 'MATCH' end as endpoint, case when part % 7 = 0 then 'CONFLICT' else 'MATCH' end as phase from sc)"
@@ -112,13 +114,15 @@ def score_histogram(t: Tables) -> DataFrame:
     return K.histogram(candidates(t), "score", ["kind"])
 
 
-@query(r"""with a as (select item_id, d.doc_id, regexp_extract(d.text, '[0-9]+', 0) as n, d.text from benchmark b join documents d on b.item_id = d.doc_id % 40)
-select item_id, doc_id, n from a where n <> '' and contains(text, n || ' ')""")
+@query(rf"""with {fusion.HITS_SQL}, p as (select distinct query_id, doc_id from hits),
+a as (select query_id, doc_id, regexp_extract(b.text, '[0-9]+', 0) as n, d.text from p join benchmark b on item_id = query_id join documents d using (doc_id))
+select query_id, doc_id, n, n = '' or regexp_matches(text, '(^|[^0-9.])' || n || '([^0-9]|$)') as passes from a""")
 def numeric_gate(t: Tables) -> DataFrame:
-    """Candidates whose text has the wanted number before a space."""
-    rows = t.documents.select("doc_id", (F.col("doc_id") % 40).alias("item_id"), F.regexp_extract("text", "[0-9]+", 0).alias("n"), "text")
-    gated = rows.filter((F.col("n") != "") & F.contains("text", F.concat("n", F.lit(" "))))
-    return gated.join(t.benchmark.select("item_id"), "item_id", "left_semi").select("item_id", "doc_id", "n")
+    """Fused candidates: one passes if its text has the item's number as a number of its own; items without one let all pass."""
+    rows = fusion.hits(t).select("query_id", "doc_id").distinct()
+    rows = rows.join(t.benchmark.select(F.col("item_id").alias("query_id"), F.regexp_extract("text", "[0-9]+", 0).alias("n")), "query_id").join(t.documents.select("doc_id", "text"), "doc_id")
+    found = F.rlike("text", F.concat(F.lit("(^|[^0-9.])"), "n", F.lit("([^0-9]|$)")))
+    return rows.select("query_id", "doc_id", "n", ((F.col("n") == "") | found).alias("passes"))
 
 
 @query(f"with {SCORE_SQL} select query_id, supplier, doc_id, score::double as score from (select *, row_number() over (partition by query_id, supplier order by score desc, doc_id) as r from sc) where r = 1")
@@ -140,30 +144,29 @@ def confidence_gate(t: Tables) -> DataFrame:
     return confident(t).select("query_id", "doc_id", "confidence", F.when(F.col("confidence") >= G.LEAST_CONFIDENCE, "MAYBE").otherwise("NO").alias("verdict"))
 
 
-@query("""with m as (select item_id, doc_id, position(b.text in d.text) - 1 as a, length(b.text) as n from benchmark b, documents d where contains(d.text, b.text)), h as (select *, 1.0::double as score from m)
-select item_id, doc_id, a::int as char_start, (a + n)::int as char_end, score from h""")
+@query(f"""with {fusion.R.LITERAL_SQL}, o as (select query_id, doc_id, b.text as phrase, string_split(d.text, b.text) as ps, unnest(range(len(string_split(d.text, b.text)) - 1)) as i from lit join benchmark b on item_id = query_id join documents d using (doc_id)),
+s as (select query_id as item_id, doc_id, (list_sum(list_transform(ps[1:i + 1], lambda x: length(x))) + i * length(phrase))::int as char_start, length(phrase) as n from o)
+select item_id, doc_id, char_start, (char_start + n)::int as char_end, 1.0::double as score from s""")
 def highlight_offsets(t: Tables) -> DataFrame:
-    from gleanery.operators.retrieve import literal
+    """Every verbatim place of an item's candidates, scored by the base of an exact match in the passage's own text."""
+    rows = fusion.R.literal_offsets(t)
+    return rows.select(F.col("query_id").alias("item_id"), "doc_id", "char_start", "char_end", G.highlight_score(F.lit(True), F.lit(True)).alias("score"))
 
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
-    rows = literal(asked, t.documents.select("doc_id", "text")).join(F.broadcast(asked), "query_id")
-    return rows.select(F.col("query_id").alias("item_id"), "doc_id", (F.col("place") - 1).alias("char_start"), (F.col("place") - 1 + F.length("text")).alias("char_end"), G.highlight_score(F.lit(True), F.lit(True)).alias("score"))
 
-
-@query("""with p as (select l_suppkey as query_id, l_orderkey as id, l_linenumber as line, l_orderkey // 100 as a, l_orderkey // 100 + l_linenumber % 3 as b, l_discount as c from lineitem where l_suppkey % 10 = 0 and l_quantity > 25),
+@query("""with p as (select l_suppkey as query_id, l_orderkey as id, l_linenumber as line, l_orderkey // 100 as a, l_orderkey // 100 + l_linenumber % 3 as b, l_discount as c from lineitem),
 f as (select *, case when a <= lag(b) over w + 1 then 0 else 1 end as new from p window w as (partition by query_id order by a, id, line)), g as (select *, sum(new) over (partition by query_id order by a, id, line rows unbounded preceding) as g from f)
 select query_id, min(a) as page_start, max(b) as page_end, max(c) as confidence, count(*) as n, string_agg(distinct id::varchar, ',' order by id::varchar) as ids from g group by query_id, g""")
 def page_gap_merge(t: Tables) -> DataFrame:
     """Page ranges that follow the previous row's end become one hit."""
     start = F.expr("l_orderkey div 100")
-    rows = t.lineitem.filter("l_suppkey % 10 = 0 and l_quantity > 25").select(F.col("l_suppkey").alias("query_id"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), start.alias("page_start"), (start + F.col("l_linenumber") % 3).alias("page_end"), F.col("l_discount").alias("c"))
+    rows = t.lineitem.select(F.col("l_suppkey").alias("query_id"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), start.alias("page_start"), (start + F.col("l_linenumber") % 3).alias("page_end"), F.col("l_discount").alias("c"))
     merged = G.merge_pages(rows, ["query_id"], ["id", "line"]).groupBy("query_id", "group")
     return merged.agg(F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.max("c").alias("confidence"), F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set(F.col("id").cast("string"))), ",").alias("ids")).drop("group")
 
 
-@query(f"with {SCORE_SQL}, {CONFIDENCE_SQL} select query_id, doc_id, round(confidence * case when kind = 'R' then 0.25 when tax = 0 then 0.1 else tax / (tax + 0.05) end + 1e-9, 6)::double as confidence from cf")
+@query(f"with {SCORE_SQL}, {CONFIDENCE_SQL} select query_id, doc_id, round(confidence * case when kind = 'R' then 0.25 when tax = 0 then 0.1 else tax / (tax + 0.05) end, 10)::double as confidence from cf")
 def evidence_calibration(t: Tables) -> DataFrame:
-    return confident(t).select("query_id", "doc_id", F.round(G.calibrated(F.col("confidence"), F.col("tax"), F.col("kind") == "R") + 1e-9, 6).alias("confidence"))
+    return confident(t).select("query_id", "doc_id", F.round(G.calibrated(F.col("confidence"), F.col("tax"), F.col("kind") == "R"), 10).alias("confidence"))
 
 
 @query(f"with {SCORE_SQL}, {CONFIDENCE_SQL}, l as (select *, case when discount >= 0.08 then 'DIRECT' when discount >= 0.05 then 'SUPPORTING' when discount >= 0.02 then 'BACKGROUND' else 'UNRELATED' end as label from cf) select query_id, doc_id, label, row_number() over (partition by query_id order by case label when 'DIRECT' then 0 when 'SUPPORTING' then 1 when 'BACKGROUND' then 4 else 9 end, confidence desc, score desc, doc_id)::int as place from l")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.text import content_tokens, jaccard, tokens
 from gleanery.operators import gates, retrieve
+from gleanery.sources.stages import small
 from gleanery.plans.registry import LINES, Tables, query, tokens_sql
 
 BM25_SQL = f"""
@@ -22,7 +23,7 @@ bm as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) *
 LITERAL_SQL = "lit as (select item_id as query_id, doc_id, position(b.text in d.text)::int as place from benchmark b, documents d where position(b.text in d.text) > 0)"
 
 VECTOR_SQL = """
-vq as (select vec_id as query_id, embedding::double[] as asked from embeddings where vec_id < 20),
+vq as (select vec_id as query_id, embedding::double[] as asked from embeddings where vec_id % 20 = 0),
 vs as (select query_id, vec_id as doc_id, round(list_dot_product(asked, embedding::double[]), 6) as score from vq, embeddings where vec_id <> query_id)"""
 
 #: Slots of customers' and orders' facts by weight, and the order in which they anchor a query.
@@ -35,7 +36,7 @@ def asked(t: Tables) -> DataFrame:
 
 
 def asked_vectors(t: Tables) -> DataFrame:
-    return t.embeddings.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def held_vectors(t: Tables) -> DataFrame:
@@ -77,16 +78,17 @@ def literal_search(t: Tables) -> DataFrame:
     return retrieve.literal(asked(t), t.documents.select("doc_id", "text"))
 
 
-@query(f"""with {LITERAL_SQL}
-select query_id, doc_id, place - 1 as char_start, place - 1 + length(b.text) as char_end,
-       length(left(d.text, place - 1)) - length(replace(left(d.text, place - 1), chr(10), '')) as line_no
-from lit join benchmark b on item_id = query_id join documents d using (doc_id)""")
+@query(f"""with {LITERAL_SQL},
+occ as (select query_id, doc_id, b.text as phrase, d.text, string_split(d.text, b.text) as ps, unnest(range(len(string_split(d.text, b.text)) - 1)) as i from lit join benchmark b on item_id = query_id join documents d using (doc_id)),
+spot as (select *, (list_sum(list_transform(ps[1:i + 1], lambda x: length(x))) + i * length(phrase))::int as s from occ)
+select query_id, doc_id, s as char_start, (s + length(phrase))::int as char_end, (length(left(text, s)) - length(replace(left(text, s), chr(10), '')))::int as line_no from spot""")
 def literal_offsets(t: Tables) -> DataFrame:
     """Character span and line of every verbatim match."""
     hits = retrieve.literal(asked(t), t.documents.select("doc_id", "text"))
-    both = hits.join(F.broadcast(asked(t).withColumnRenamed("text", "phrase")), "query_id").join(t.documents.select("doc_id", "text"), "doc_id")
-    before = F.expr("left(text, place - 1)")
-    return both.select("query_id", "doc_id", (F.col("place") - 1).alias("char_start"), (F.col("place") - 1 + F.length("phrase")).alias("char_end"), (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))).alias("line_no"))
+    both = hits.join(asked(t).withColumnRenamed("text", "phrase"), "query_id").join(t.documents.select("doc_id", "text"), "doc_id")
+    both = both.withColumn("char_start", F.explode(retrieve.starts(F.col("text"), F.col("phrase"))))
+    before = F.expr("left(text, char_start)")
+    return both.select("query_id", "doc_id", "char_start", (F.col("char_start") + F.length("phrase")).alias("char_end"), (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))).alias("line_no"))
 
 
 PATTERNS = ["[0-9]{3}", "@", "[A-Z]{3}", "License"]
@@ -120,7 +122,7 @@ def score_decay(t: Tables) -> DataFrame:
 
 
 FACTS_SQL = """fa as (select p_partkey as doc_id, slot, value from part, lateral (values ('brand', p_brand), ('type', p_type), ('size', p_size::varchar)) v(slot, value)),
-fq as (select doc_id as query_id, slot, value from fa where doc_id % 100 = 0)"""
+fq as (select doc_id as query_id, slot, value from fa where doc_id % 20 = 0)"""
 
 
 def facts(t: Tables) -> DataFrame:
@@ -134,11 +136,11 @@ select query_id, doc_id, score, r as rank from (select query_id, doc_id, score,
 def fact_anchor_search(t: Tables) -> DataFrame:
     """Parts that share a part's facts, its brand among them."""
     every = facts(t)
-    return retrieve.top_with_ties(retrieve.facts_overlap(every.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), every, SLOTS, ANCHORS), 5)
+    return retrieve.top_with_ties(retrieve.facts_overlap(every.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), every, SLOTS, ANCHORS), 5)
 
 
 RELATION_SQL = """re as (select l_orderkey as order_id, l_partkey as part_id, l_suppkey as supplier_id, l_returnflag as relation, round(1 - l_discount, 6) as confidence from lineitem),
-rq as (select * from re where order_id % 500 = 0),
+rq as (select * from re where order_id % 20 = 0),
 rs as (select rq.order_id as query_id, re.order_id as doc_id, round(max(3.0 + 1.5 * (rq.relation = re.relation)::int + 2.0 * (rq.supplier_id = re.supplier_id)::int + re.confidence)::double, 6) as score
        from rq join re on rq.part_id = re.part_id and rq.order_id <> re.order_id group by 1, 2)"""
 
@@ -146,7 +148,7 @@ rs as (select rq.order_id as query_id, re.order_id as doc_id, round(max(3.0 + 1.
 def relation_hits(t: Tables) -> DataFrame:
     """Orders that have a part in common with an asked one: 3, 1.5 for the same relation, 2 for the same supplier, and the confidence."""
     held = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.col("l_returnflag").alias("relation"), F.round(1 - F.col("l_discount"), 6).alias("confidence"))
-    wanted = held.filter("doc_id % 500 = 0").select(F.col("doc_id").alias("query_id"), "part", F.col("supplier").alias("q_supplier"), F.col("relation").alias("q_relation"))
+    wanted = held.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "part", F.col("supplier").alias("q_supplier"), F.col("relation").alias("q_relation"))
     score = 3.0 + 1.5 * (F.col("relation") == F.col("q_relation")).cast("int") + 2.0 * (F.col("supplier") == F.col("q_supplier")).cast("int") + F.col("confidence")
     return held.join(wanted, "part").filter("query_id <> doc_id").groupBy("query_id", "doc_id").agg(F.round(F.max(score), 6).alias("score"))
 
@@ -156,16 +158,16 @@ def relation_search(t: Tables) -> DataFrame:
     return retrieve.top_with_ties(relation_hits(t), 10)
 
 
-@query(f"""with {RELATION_SQL}, fo as (select a.o_orderkey as query_id, b.o_orderkey as doc_id, 4.0::double as score from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey <> b.o_orderkey where a.o_orderkey % 500 = 0),
+@query(f"""with {RELATION_SQL}, fo as (select a.o_orderkey as query_id, b.o_orderkey as doc_id, 4.0::double as score from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey <> b.o_orderkey where a.o_orderkey % 20 = 0),
 u as (select *, row_number() over (partition by query_id, doc_id order by score desc) as o from (select * from rs union all select * from fo))
 select query_id, doc_id, round((max(score) + 0.3 * coalesce(max(case when o = 2 then score end), 0))::double, 6) as score from u group by query_id, doc_id""")
 def fact_relation_merge(t: Tables) -> DataFrame:
-    a, b = t.orders.select(F.col("o_orderkey").alias("query_id"), "o_custkey").filter("query_id % 500 = 0"), t.orders.select(F.col("o_orderkey").alias("doc_id"), "o_custkey")
+    a, b = t.orders.select(F.col("o_orderkey").alias("query_id"), "o_custkey").filter("query_id % 20 = 0"), t.orders.select(F.col("o_orderkey").alias("doc_id"), "o_custkey")
     same = a.join(b, "o_custkey").filter("query_id <> doc_id").select("query_id", "doc_id", F.lit(4.0).alias("score"))
     return retrieve.best_and_second(relation_hits(t).unionByName(same))
 
 
-NUMERIC_SQL = "nq as (select event_id as query_id, event_type, (props->>'$.k')::int as k, value from events where event_id % 400 = 0), nd as (select event_id as doc_id, event_type, (props->>'$.k')::int as k, value from events)"
+NUMERIC_SQL = "nq as (select event_id as query_id, event_type, (props->>'$.k')::int as k, value from events where event_id % 20 = 0), nd as (select event_id as doc_id, event_type, (props->>'$.k')::int as k, value from events)"
 
 
 def numbers(t: Tables) -> DataFrame:
@@ -176,7 +178,7 @@ def numbers(t: Tables) -> DataFrame:
 def numeric_exact(t: Tables) -> DataFrame:
     """Same type and number, and a value within tolerance; such hits score 0."""
     held = numbers(t)
-    wanted = held.filter("doc_id % 400 = 0").select(F.col("doc_id").alias("query_id"), "event_type", "k", F.col("value").alias("asked"))
+    wanted = held.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "event_type", "k", F.col("value").alias("asked"))
     return held.join(wanted, ["event_type", "k"]).filter("query_id <> doc_id and abs(asked - value) <= 0.5").select("query_id", "doc_id", F.lit(0.0).alias("score"))
 
 
@@ -185,7 +187,7 @@ t2 as (select query_id, doc_id, 2 as tier from nq join nd on nq.event_type = nd.
 select * from t1 union all select * from t2""")
 def numeric_fallback_anti(t: Tables) -> DataFrame:
     held = numbers(t)
-    wanted = held.filter("doc_id % 400 = 0").select(F.col("doc_id").alias("query_id"), "event_type", "k", F.col("value").alias("asked"))
+    wanted = held.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "event_type", "k", F.col("value").alias("asked"))
     loose = held.join(wanted, ["event_type", "k"]).filter("query_id <> doc_id")
     pick = lambda rows, tier: rows.select("query_id", "doc_id", F.lit(tier).alias("tier"))
     return retrieve.with_fallback(pick(loose.filter("abs(asked - value) <= 0.05"), 1), pick(loose, 2))
@@ -197,12 +199,12 @@ def adaptive_k(t: Tables) -> DataFrame:
     return pages.withColumn("k", retrieve.adaptive_k(F.col("pages")))
 
 
-@query(f"""with qt as (select item_id as query_id, unnest(list_distinct(list_slice({tokens_sql("text")}, 1, 5))) as token from benchmark),
+@query(f"""with qt as (select item_id as query_id, unnest(list_distinct({tokens_sql("text")})) as token from benchmark),
 w as (select distinct unnest({tokens_sql("p_name")}) as word from part)
 select query_id, token, word, levenshtein(token, word)::int as distance from qt, w where abs(length(token) - length(word)) <= 2 and levenshtein(token, word) <= 2""")
 def fuzzy_levenshtein(t: Tables) -> DataFrame:
-    """Part-name words within two edits of an item's first tokens; both sides are small vocabularies, joined on word length."""
-    token = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.slice(tokens(F.col("text")), 1, 5))).alias("token"))
+    """Part-name words within two edits of an item's tokens; both sides are small vocabularies, joined on word length."""
+    token = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     token = token.withColumn("length", F.explode(F.sequence(F.length("token") - 2, F.length("token") + 2)))
     word = t.part.select(F.explode(tokens(F.col("p_name"))).alias("word")).distinct().withColumn("length", F.length("word"))
     return token.join(word, "length").withColumn("distance", F.levenshtein("token", "word", 2)).filter("distance >= 0").select("query_id", "token", "word", "distance")
@@ -215,7 +217,7 @@ def term_or_search(t: Tables) -> DataFrame:
     """Any of an item's long terms, two points each."""
     long_terms = asked(t).select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).filter("length(term) >= 9")
     held = t.documents.select("doc_id", F.explode(F.array_distinct(F.filter(tokens(F.col("text")), lambda x: F.length(x) >= 9))).alias("term"))
-    return held.join(F.broadcast(long_terms), "term").groupBy("query_id", "doc_id").agg((2.0 * F.count("*")).alias("score")).filter("score >= 6")
+    return held.join(small(long_terms), "term").groupBy("query_id", "doc_id").agg((2.0 * F.count("*")).alias("score")).filter("score >= 6")
 
 
 @query(f"""with {LINES}, h as (select l_orderkey as doc_id, l_linenumber as obj, l_quantity as score from lineitem)
@@ -242,7 +244,3 @@ def item_and_document_tokens(t: Tables) -> DataFrame:
     hits = retrieve.literal(asked(t), t.documents.select("doc_id", "text"))
     held = t.documents.select("doc_id", content_tokens(F.col("text")).alias("held"))
     return hits.join(asked(t).select("query_id", content_tokens(F.col("text")).alias("wanted")), "query_id").join(held, "doc_id")
-
-
-def document_jaccard(t: Tables) -> DataFrame:
-    return item_and_document_tokens(t).select("query_id", "doc_id", F.round(jaccard(F.col("wanted"), F.col("held")), 6).alias("jaccard"))
