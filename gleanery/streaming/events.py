@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +13,9 @@ from gleanery.sources.files import upsert
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder for state and results: in the shared one that the session names, else a local one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    name = next(tempfile._get_candidate_names())
-    return f"{shared.rstrip('/')}/stream-{name}" if shared else tempfile.mkdtemp(prefix="stream")
+    """A folder for state and results: in the shared one that the session names, else in the warehouse."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_streams"
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def stream(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
@@ -69,4 +70,32 @@ def upserted(events: DataFrame, key: str = "user_id", version: str = "event_id")
         merged.append(number)
 
     events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/table-{max(merged)}")
+    return spark.read.parquet(f"{folder}/table-{max(merged)}") if merged else spark.createDataFrame([], events.schema)
+
+
+def in_batches(rows: list[DataFrame]) -> DataFrame:
+    """A stream that reads each of some tables as a batch of its own, in order."""
+    spark, folder = rows[0].sparkSession, scratch(rows[0].sparkSession)
+    for number, batch in enumerate(rows):
+        batch.coalesce(1).write.parquet(f"{folder}/in-{number}")
+    return spark.readStream.schema(rows[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in-*")
+
+
+def running_totals(events: DataFrame) -> DataFrame:
+    """(user_id, n, total) of each user by a state of its own: how many events so far, and the sum of their values."""
+    spark, folder = events.sparkSession, scratch(events.sparkSession)
+
+    def add(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n, total = state.get if state.exists else (0, 0.0)
+        for batch in batches:
+            n, total = n + len(batch), total + float(batch["value"].sum())
+        state.update((n, total))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    kind = "user_id long, n long, total double"
+    out = events.groupBy("user_id").applyInPandasWithState(add, kind, "n long, total double", "update", "NoTimeout")
+    out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kind + ", batch int").parquet(f"{folder}/out").groupBy("user_id").agg(F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total"))

@@ -104,3 +104,47 @@ def test_entry_imports_without_llm(spark):
 
     assert __spark_entry__.queries().keys() >= {"bm25_topk", "page_gap_merge"}
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_compatibility_normalization(spark):
+    import unicodedata
+
+    from gleanery.functions.text import nfkc
+
+    texts = ["ﬁne ①", "e\u0301", "", None, "plain", "Å\u2003x"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).select(nfkc("text")).collect()]
+    assert got == [t if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+
+
+def test_all_places_of_a_phrase(spark):
+    from gleanery.operators.retrieve import starts
+
+    rows = [("abcabcab", "abc"), ("x.y.z", "."), ("aaaa", "aa"), ("none", "q"), ("a\\Eb\\E", "\\E")]
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame(rows, "text string, phrase string").coalesce(1).select(starts(F.col("text"), F.col("phrase"))).collect()
+    assert [r[0] for r in got] == [[0, 3], [1, 3], [0, 2], [], [1, 4]]
+
+
+def test_literal_finds_every_kind_of_phrase(spark):
+    from gleanery.operators.retrieve import literal
+
+    texts = ["foo bar baz", "l'été dernier", "one", "a foo bard", "x.y"]
+    phrases = ["one", "oo ba", "été", "foo bar baz", "x.y", "foo", "."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(phrases)), "query_id long, text string")
+    got = {(r["query_id"], r["doc_id"]) for r in literal(asked, docs).collect()}
+    assert got == {(q, d) for q, p in enumerate(phrases) for d, t in enumerate(texts) if p in t}
+
+
+def test_bm25_counts_lengths_of_all_documents(spark):
+    import math
+
+    from gleanery.operators.retrieve import bm25
+
+    texts = {1: "b a, a", 2: "", 3: "!c", 4: "a"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in bm25(spark.createDataFrame([(0, "a")], "query_id long, text string"), docs).collect()}
+    mean = (3 + 0 + 1 + 1) / 4
+    score = lambda tf, n: math.log(1 + 2.5 / 2.5) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))
+    assert got == {1: round(score(2, 3), 6), 4: round(score(1, 1), 6)}
