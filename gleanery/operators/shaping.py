@@ -47,7 +47,7 @@ def rolled_up(hits: DataFrame, keys: list[str]) -> DataFrame:
     """One row a group of accepted hits: page range, best confidence, YES if any, ids in order, sources, the best span, distinct texts."""
     order = F.struct("page_start", "position", (-F.col("confidence")).alias("c"), "chunk_id", "text")
     held = F.array_sort(F.collect_list(order))
-    best = F.max_by("match_span", F.struct(F.col("match_span").isNotNull(), "highlight_score", F.negative("chunk_id")))
+    best = F.max_by("match_span", F.struct(F.col("match_span").isNotNull(), "highlight_score", F.negative("chunk_id"), "match_span"))
     return hits.groupBy(*keys).agg(
         F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.round(F.max("confidence"), 3).alias("confidence"), F.when(F.max((F.col("verdict") == "YES").cast("int")) == 1, "YES").otherwise("MAYBE").alias("verdict"),
         F.array_join(F.transform(held, lambda x: x["chunk_id"].cast("string")), ",").alias("chunk_ids"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), best.alias("match_span"),

@@ -46,9 +46,9 @@ def slot_weighted_jaccard(t: Tables) -> DataFrame:
     return fuse.weighted_overlap(asked, every, R.SLOTS).join(asked.filter("slot = 'brand'").join(every.filter("slot = 'brand'"), ["slot", "value"]).select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
 
 
-@query(f"with {R.RELATION_SQL} select query_id, count(*) as n, round(avg(score), 6) as mean_score, max(score) as best from rs group by query_id")
+@query(f"with {R.RELATION_SQL} select query_id, count(*) as n, round(avg(score), 10) as mean_score, max(score) as best from rs group by query_id")
 def relation_score(t: Tables) -> DataFrame:
-    return R.relation_hits(t).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.max("score").alias("best"))
+    return R.relation_hits(t).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 10).alias("mean_score"), F.max("score").alias("best"))
 
 
 @query("""with b as (select p_partkey, p_brand as brand, string_split(p_name, ' ') as ws from part)

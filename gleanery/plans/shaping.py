@@ -192,7 +192,7 @@ def accept_filter(t: Tables) -> DataFrame:
 
 @query(f"""with {HITS_SQL}, a as (select * from h where verdict <> 'NO'), o as (select *, row_number() over (partition by query_id, page_start order by position, confidence desc, chunk_id, text) as r from a),
 x as (select query_id, page_start, text, min(r) as r from o group by 1, 2, 3), y as (select query_id, page_start, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by r) as text from x group by 1, 2),
-s as (select query_id, page_start, match_span from (select *, row_number() over (partition by query_id, page_start order by (match_span is not null) desc, highlight_score desc, chunk_id) as k from o) where k = 1)
+s as (select query_id, page_start, match_span from (select *, row_number() over (partition by query_id, page_start order by (match_span is not null) desc, highlight_score desc, chunk_id, match_span desc) as k from o) where k = 1)
 select query_id, page_start, max(page_end) as page_end, round(max(confidence), 3)::double as confidence, case when bool_or(verdict = 'YES') then 'YES' else 'MAYBE' end as verdict, string_agg(chunk_id::varchar, ',' order by r) as chunk_ids, string_agg(distinct source, ',' order by source) as sources, any_value(s.match_span) as match_span, any_value(y.text) as text
 from o join y using (query_id, page_start) join s using (query_id, page_start) group by 1, 2""")
 def group_rollup(t: Tables) -> DataFrame:
