@@ -7,18 +7,18 @@ documents, widened by ``SPREAD`` times the distance between them and by ``SLACK`
 words weigh more in a short text), more where few documents stand behind them. A document outside a band is rejected; so are those that fail the base rules.
 
 Null texts have no words. A null language is a language of its own. Ties and repeated rows change nothing. An
-empty table gives an empty result.
+empty table gives an empty result. A very long text is a slice of its own, never cut. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import checkpointed, map_texts, quoted, record
-from gleanery.llm.merge_table import Codec, proto_of
+from gleanery.llm.merge_table import Codec, shared_model
 from gleanery.llm.words import compact, hashes, run_hashes, window_starts
 
 WINDOW = 8
@@ -30,6 +30,7 @@ SPREAD = 4.0
 SLACK = {"chars_per_token": 2.0, "byte_share": 0.8, "entropy": 0.5}
 #: A class of few documents has wider bands: by 1 + FEW / sqrt(documents).
 FEW = 2.0
+DIGITS = 4
 
 
 def repeated_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,13 +85,13 @@ def fertility(codec: Codec, texts: list[str]) -> tuple[np.ndarray, np.ndarray, n
 
 def measured(docs: DataFrame, model: str | None = None) -> DataFrame:
     """Base counts and fertility of rows of (doc_id, lang, text)."""
-    proto = proto_of(model)
+    shared = shared_model(docs.sparkSession, model)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(2).fill_null("").to_pylist()
         raw = [t.encode() for t in texts]
         n_words, chars, repeated = repeated_words(raw)
-        tokens, per_token, share, entropy = fertility(Codec(proto), texts)
+        tokens, per_token, share, entropy = fertility(Codec(shared.value), texts)
         symbols = [int(SYMBOLS[np.frombuffer(t, np.uint8)].sum()) for t in raw]
         return record(
             doc_id=batch.column(0), lang=batch.column(1), n_words=n_words, word_chars=chars, n_symbols=pa.array(symbols, pa.int64()), n_dup_lines=pa.array([repeated_lines(t) for t in raw], pa.int64()),
@@ -100,9 +101,20 @@ def measured(docs: DataFrame, model: str | None = None) -> DataFrame:
     return map_texts(docs, kernel, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double")
 
 
+def quartiles_of(rows: DataFrame) -> DataFrame:
+    """(lang, class, n, [lower, upper] quartile of each metric), exact: from counts of the values at ``DIGITS`` digits and their running sums."""
+    each = rows.select("lang", "class", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.round(m, DIGITS).alias("value")) for m in METRICS])).alias("x")).select("lang", "class", "x.*")
+    own = Window.partitionBy("lang", "class", "metric")
+    counts = each.groupBy("lang", "class", "metric", "value").agg(F.count("*").alias("c"))  # a bounded number of values a class
+    ranked = counts.withColumn("upto", F.sum("c").over(own.orderBy("value"))).withColumn("n", F.sum("c").over(own))
+    at = lambda share: F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * share), F.col("value")))
+    found = ranked.groupBy("lang", "class", "metric").agg(F.max("n").alias("n"), F.array(at(0.25), at(0.75)).alias("q"))
+    return found.groupBy("lang", "class").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("metric") == m, F.col("q"))).alias(m) for m in METRICS])
+
+
 def bands(rows: DataFrame) -> DataFrame:
     """(lang, class, low and high of each metric) from all measured rows that pass the base rules."""
-    quartiles = rows.filter("not base_failed").groupBy("lang", "class").agg(F.count("*").alias("n"), *[F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in METRICS])
+    quartiles = quartiles_of(rows.filter("not base_failed"))
     out = ["lang", "class"]
     for m in METRICS:
         width = (SPREAD * (F.col(m)[1] - F.col(m)[0]) + SLACK[m] / F.pow(F.lit(2.0), F.col("class"))) * (1 + FEW / F.sqrt("n"))
