@@ -11,7 +11,8 @@ No piece spans a character and a following space mark, which is checked when the
 merges never cross that border: a text is the chain of its space-led segments, and each distinct
 segment of a slice is worked out once, all of them side by side. A model without that property has one segment a text.
 
-Nulls are empty texts. Begin and end ids are added in ``encode`` only.
+Nulls are empty texts. A very long text is a slice of its own, never cut. Equal texts, so repeated rows, get equal ids; equal scores merge leftmost first,
+as in the library. An empty table gives an empty result. Other columns are ignored. Begin and end ids are added in ``encode`` only.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.llm.common import id_and_text, map_texts, record
 from gleanery.llm.words import spread
@@ -37,6 +39,8 @@ MOST_PAIRS = 2_000_000
 #: Distinct segments that a worker remembers, about 200 bytes each.
 MOST_SEGMENTS = 400_000
 TOKEN_LIMIT = 4096
+#: Texts on which a model's ids must be the library's: white space, case, compatibility characters, combining marks, marks of its own.
+PROBES = ["", " ", "a", "  two  spaces ", "The cat's 12,345 hats.\n\tEnd", "ﬁne ① Ａ", "e\u0301 é", "漢字 😀 x", "▁ a▁b", "\u200b\u00a0x", "straße İstanbul"]
 
 
 def default_model() -> str:
@@ -91,7 +95,10 @@ class HashTable:
 
 
 class Model:
-    """Pieces and scores of a merge-type SentencePiece model with byte fallback and an identity normaliser."""
+    """Pieces and scores of a merge-type SentencePiece model with an identity normaliser, built once on the driver and broadcast.
+
+    Any other model, which would give other ids than the library, is an error: ``PROBES`` must come out alike.
+    """
 
     def __init__(self, proto: bytes) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -117,6 +124,16 @@ class Model:
         self.spines: dict[int, tuple[list, list]] = {}
         self.pairs = HashTable()
         self.steps, self.token_at = self.trie()
+        self.stores: dict[bool, Store] = {}
+        for text in PROBES:
+            if Codec(self).encode([text])[0].tolist() != sp.encode(text):
+                raise ValueError("this model is not of the merge type with an identity normaliser: its ids differ on " + repr(text))
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "stores": {}}
+
+    def store(self, with_ids: bool) -> Store:
+        return self.stores.setdefault(with_ids, Store(self, with_ids))
 
     def trie(self) -> tuple[HashTable, np.ndarray]:
         """Steps from (node, character) to a node, and the piece that ends at each node, or -1."""
@@ -351,11 +368,6 @@ def loaded(proto: bytes) -> Model:
     return Model(proto)
 
 
-@lru_cache(maxsize=2)
-def store_of(proto: bytes, with_ids: bool) -> Store:
-    return Store(loaded(proto), with_ids)
-
-
 def one_byte(error: UnicodeDecodeError) -> tuple[str, int]:
     return "�", error.start + 1
 
@@ -366,17 +378,17 @@ codecs.register_error("each_byte", one_byte)
 class Codec:
     """Encoder, decoder and prefix counts for one model; what Spark tasks and plain callers use."""
 
-    def __init__(self, proto: bytes) -> None:
-        self.proto, self.model = proto, loaded(proto)
+    def __init__(self, model: Model | bytes) -> None:
+        self.model = model if isinstance(model, Model) else loaded(model)
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
-        store = store_of(self.proto, False)
+        store = self.model.store(False)
         which, begins = store.numbered(texts)
         sums = np.concatenate([[0], np.cumsum(store.totals.data[which], dtype=np.int64)])
         return sums[begins[1:]] - sums[begins[:-1]]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        store = store_of(self.proto, True)
+        store = self.model.store(True)
         which, begins = store.numbered(texts)
         lengths = store.totals.data[which].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -410,16 +422,21 @@ class Codec:
 
 
 def proto_of(model: str | None) -> bytes:
-    with open(model or default_model(), "rb") as f:  # the driver's copy travels with the tasks
+    with open(model or default_model(), "rb") as f:
         return f.read()
 
 
+def shared_model(spark: SparkSession, model: str | None) -> Broadcast[Model]:
+    """The model of a file that the driver can read, with its automaton, for all tasks: some MB, as the vocabulary's size is fixed."""
+    return spark.sparkContext.broadcast(loaded(proto_of(model)))
+
+
 def token_counts(docs: DataFrame, model: str | None = None, limit: int = TOKEN_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of (doc_id, n_bytes, n_tokens, over_limit), one for each input row. Null text: empty, 0 tokens."""
-    proto = proto_of(model)
+    shared = shared_model(docs.sparkSession, model)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = Codec(proto)
+        codec = Codec(shared.value)
         texts = [t or "" for t in batch.column(1).to_pylist()]
         counts = codec.counts(texts)
         return record(doc_id=batch.column(0), n_bytes=np.array([len(t.encode()) for t in texts], np.int64), n_tokens=counts, over_limit=counts > limit)
@@ -429,10 +446,10 @@ def token_counts(docs: DataFrame, model: str | None = None, limit: int = TOKEN_L
 
 def token_budget(docs: DataFrame, budget: int, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of (doc_id, n_tokens, cut_chars, prefix_counts): the longest prefix within a budget, and the count at each prefix."""
-    proto = proto_of(model)
+    shared = shared_model(docs.sparkSession, model)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = Codec(proto)
+        codec = Codec(shared.value)
         counts = codec.prefix_counts(batch.column(1).to_pylist())
         cuts = [int(np.flatnonzero(x <= budget)[-1]) for x in counts]
         return record(doc_id=batch.column(0), n_tokens=pa.array([x[-1] for x in counts], pa.int64()), cut_chars=pa.array(cuts, pa.int64()), prefix_counts=pa.array(counts, pa.list_(pa.int32())))
@@ -442,10 +459,10 @@ def token_budget(docs: DataFrame, budget: int, model: str | None = None, id_col:
 
 def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of (doc_id, ids, decoded): ids with begin and end, and the text that they decode to."""
-    proto = proto_of(model)
+    shared = shared_model(docs.sparkSession, model)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, decoded = zip(*encoded(Codec(proto), batch.column(1).to_pylist()), strict=True)
+        ids, decoded = zip(*encoded(Codec(shared.value), batch.column(1).to_pylist()), strict=True)
         return record(doc_id=batch.column(0), ids=pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())), decoded=pa.array(decoded, pa.string()))
 
     return map_texts(id_and_text(docs, id_col, text_col), kernel, "doc_id long, ids array<int>, decoded string")
@@ -453,11 +470,11 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
 
 def encode_rows(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of (doc_id, n_tokens, ids, round_trip): the ids, and whether they decode to the text (they do unless it has a space mark of its own)."""
-    proto = proto_of(model)
+    shared = shared_model(docs.sparkSession, model)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
-        ids, decoded = zip(*encoded(Codec(proto), texts), strict=True)
+        ids, decoded = zip(*encoded(Codec(shared.value), texts), strict=True)
         arrays = [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
         listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
@@ -469,10 +486,10 @@ def encode_rows(docs: DataFrame, model: str | None = None, id_col: str = "doc_id
 
 def encode_digests(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``encode`` in digests: (doc_id, n_tokens, ids_sha256, decoded_sha256), one row for each input row."""
-    proto = proto_of(model)
+    shared = shared_model(docs.sparkSession, model)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(len(i) // 4, sha256(i), sha256(t.encode())) for i, t in encoded(Codec(proto), batch.column(1).to_pylist())]
+        rows = [(len(i) // 4, sha256(i), sha256(t.encode())) for i, t in encoded(Codec(shared.value), batch.column(1).to_pylist())]
         n, ids, decoded = zip(*rows, strict=True)
         return record(doc_id=batch.column(0), n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(ids), decoded_sha256=pa.array(decoded))
 
