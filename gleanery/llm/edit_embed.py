@@ -16,7 +16,7 @@ first of each range goes to the range before as well, and each range is read in
 sees more than a range.
 
 Null texts are empty; their samples are all blank. Among equal doc_ids the order is that of the texts. A null
-doc_id comes first. An empty table gives an empty result.
+doc_id comes first; rows without one are one range. A very long text is walked whole. Ties of samples count as equal. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ CYCLE = 4096  # steps after which the random bits repeat
 AHEAD, STRIDE, RUN = 4, 32, 1 << 16
 #: Bytes of text walked side by side.
 WALKED = 8 << 20
+#: Bytes of a range of documents on average, and ranges at most: a bound and a first doc_id of each are collected.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 10_000
 #: Chance that a pair of the least likeness shares a band, and rows of a block of a bucket.
 RECALL, BLOCK = 0.95, 1000
 _rng = np.random.default_rng(1905)
@@ -257,7 +259,8 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edited text has its last quarter replaced by as many characters of the next document, after the last one the first.
     """
     docs = id_and_text(docs, id_col, text_col)
-    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES), MOST_RANGES)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []  # the last row seen, with its samples
@@ -285,7 +288,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fingerprint=pa.array(as_text(own), pa.string()), edited_fingerprint=pa.array(as_text(other), pa.string()), near_edited=likeness(own, other), near_next=likeness(own, after),
         )
 
-    sorted_rows = in_ranges(docs, ranges).repartition("range").sortWithinPartitions("range", "guest", "doc_id", "text")
+    sorted_rows = in_ranges(docs, ranges).repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "guest", "doc_id", "text")
     return sorted_rows.mapInArrow(walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
