@@ -7,7 +7,7 @@ BUCKETS floats) is broadcast, and whole texts are scored in numpy.
 
 A null text or one without a letter gets ``und`` and score 0. Rows with a null language or text teach
 nothing. Ties go to the language first by code point. With nothing to learn from, every
-prediction is ``und``. Repeated rows and extra columns make no difference to a row's prediction.
+prediction is ``und``; an empty table gives an empty result. A very long text is scored whole. Repeated rows and extra columns make no difference to a row's prediction.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ before its first diagonal to ``BAND`` past its last with the whole template give
 by 2 * BAND at most. Coverage is the share of the template's words that match, in order. Every occurrence in a candidate counts, each aligned
 past the one before; one below ``least`` goes, and of overlapping ones of a document the one with more matched words stays.
 
-Null and empty texts have no match. Repeated rows are scanned each. An empty table gives an empty result.
+Of equal coverage the earlier place and then the name by code point goes first. Null and empty texts have no match. A very long text is scanned whole. Rows without a
+doc_id are scanned like others; other columns are ignored. Repeated rows are scanned each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     ],
     "BSD-3-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -48,6 +50,20 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "BSD-2-Clause": [
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    ],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    ],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "CC0-1.0": ["To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide. This work is distributed without any warranty."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
@@ -56,6 +72,11 @@ TEMPLATES = {
 }
 
 
+def tag(name: str) -> str:
+    """The machine-readable notice of a license. It counts only as a whole, as tags of different licenses differ in one word."""
+    return f"SPDX-License-Identifier: {name}"
+
+
 def words_of(text: bytes) -> list[tuple[bytes, int, int]]:
     return [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
 
@@ -84,10 +105,11 @@ class Index:
     """Inverted index of the templates' fingerprints."""
 
     def __init__(self, templates: dict[str, list[str]]) -> None:
-        self.names, self.words = [], []
+        self.names, self.words, self.whole = [], [], []
         places: dict[int, list[tuple[int, int]]] = {}
         for name, variants in templates.items():
-            for text in variants:
+            for text in (*variants, tag(name)):
+                self.whole.append(text == tag(name))
                 words = [w for w, _, _ in words_of(text.encode())]
                 at, keys = winnowed(word_hash(words))
                 for p, k in zip(at.tolist(), keys.tolist(), strict=True):
@@ -159,7 +181,7 @@ def matches(index: Index, text: bytes, least: float) -> list[tuple[str, float, i
     found = []
     for t, first, last in index.candidates(word_hash(plain)):
         size = len(index.words[t])
-        need = next(n for n in range(1, size + 2) if n / size >= least or n > size)
+        need = size if index.whole[t] else next(n for n in range(1, size + 2) if n / size >= least or n > size)
         found += [(n, n / size, a, b, index.names[t]) for n, a, b in occurrences(index.words[t], plain, first, last, need)]
     found.sort(key=lambda x: (-x[0], -x[1], x[2], x[4]))
     kept: list = []  # by first place

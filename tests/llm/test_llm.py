@@ -330,6 +330,75 @@ def test_licenses_back_to_back_and_behind_comment_words(spark):
     assert [round(r["coverage"], 1) for r in got if r["doc_id"] == 5] == [0.8, 1.0]
 
 
+def test_edited_licenses_and_tags_are_found(spark):
+    rnd, rows, planted = random.Random(12), [], {}
+    for name, variants in licenses.TEMPLATES.items():
+        for text in variants:
+            words = text.split()
+            if len(words) < 20:
+                continue
+            for k in rnd.sample(range(len(words)), len(words) // 20):
+                words[k] = rnd.choice(["", "other", words[k] + " more"])
+            planted[len(rows)] = name
+            rows.append((len(rows), "before it " + " ".join(words) + " after it"))
+    tags = {len(rows) + k: n for k, n in enumerate(licenses.TEMPLATES)}
+    rows += [(k, f"// {licenses.tag(n)}\nint x;") for k, n in tags.items()] + [(999, "SPDX-License-Identifier: Apache-1.1")]
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert sum((k, n) in got for k, n in planted.items()) >= 0.9 * len(planted)
+    assert all((k, n) in got for k, n in tags.items()) and not any(k == 999 for k, _ in got)
+
+
+@here
+def test_token_counts_and_digests_are_the_librarys(spark):
+    sp, docs = library(), {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    counts = {r["doc_id"]: tuple(r)[1:] for r in queries.QUERIES["op5_token_counts"](spark, FOLDER).collect()}
+    digests = {r["doc_id"]: tuple(r)[1:] for r in queries.QUERIES["op10_sentencepiece"](spark, FOLDER).collect()}
+    assert set(counts) == set(digests) == set(docs)
+    for k, text in docs.items():
+        ids = sp.encode(text)
+        assert counts[k] == (len(text.encode()), len(ids), len(ids) > 4096)
+        both = [sp.bos_id(), *ids, sp.eos_id()]
+        assert digests[k] == (len(both), hashlib.sha256(np.array(both, "<u4").tobytes()).hexdigest(), hashlib.sha256(sp.decode(both).encode()).hexdigest())
+
+
+def test_another_kind_of_model_is_an_error():
+    import public_tokenizers
+
+    other = [p for p in (public_tokenizers.path(n) for n in os.listdir(os.path.dirname(public_tokenizers.__file__)) if n.endswith(".model")) if p != merge_table.default_model()]
+    for path in other:
+        try:
+            model = merge_table.Model(merge_table.proto_of(path))
+        except ValueError:
+            continue
+        from sentencepiece import SentencePieceProcessor
+
+        sp = SentencePieceProcessor(model_file=path)
+        assert all(merge_table.Codec(model).encode([t])[0].tolist() == sp.encode(t) for t in merge_table.PROBES)
+
+
+@here
+def test_verdicts_of_quality_by_brute_force(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    langs = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    codec, rows = merge_table.Codec(merge_table.proto_of(None)), quality.quality(docs).collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    groups, group_of = {}, {}
+    for r in rows:
+        group = group_of[r["doc_id"]] = (langs[r["doc_id"]], int(np.log2(max(len(codec.encode([texts[r["doc_id"]]])[0]), 1)) // 2))
+        if not r["base_failed"]:
+            groups.setdefault(group, []).append(r)
+    for r in rows:
+        group = group_of[r["doc_id"]]
+        held = groups.get(group, [])
+        inside = True
+        for m in quality.METRICS if held else ():
+            values = sorted(round(x[m] + 1e-12, quality.DIGITS) for x in held)
+            low, high = (values[int(np.ceil(len(values) * q)) - 1] for q in (0.25, 0.75))
+            width = (quality.SPREAD * (high - low) + quality.SLACK[m] / 2 ** group[1]) * (1 + quality.FEW / len(values) ** 0.5)
+            inside = inside and low - width - 1e-6 <= r[m] <= high + width + 1e-6
+        assert r["kept"] == (not r["base_failed"] and inside)
+
+
 def test_mix_comes_near_its_targets(spark):
     rnd = random.Random(6)
     rows = [(i, " ".join("w" * rnd.randint(1, 60)), None, rnd.choice(["big"] * 20 + ["small", None])) for i in range(500)]
