@@ -21,7 +21,8 @@ def bm25(queries: DataFrame, docs: DataFrame, by: str | None = None) -> DataFram
     """(query_id, doc_id, score) of queries (query_id, text) and documents (doc_id, text) that share a token.
 
     Documents are read once: their tokens meet the query terms, a broadcast of checked size, right behind the scan, and what is left, with one entry
-    for each document, is staged for frequencies, mean length and scores. With ``by``, a column of both sides, a query sees only
+    for each document, is staged by document for frequencies, mean length and scores; the weighted query terms come to it by broadcast, so
+    a document's scores are added up where its postings are and a frequent term is no task of its own. With ``by``, a column of both sides, a query sees only
     documents with its own value; frequencies still count all.
     """
     extra = [by] if by else []
@@ -30,14 +31,14 @@ def bm25(queries: DataFrame, docs: DataFrame, by: str | None = None) -> DataFram
     held = docs.select("doc_id", *extra, parts.alias("parts")).withColumn("length", F.size("parts") - (F.element_at("parts", 1) == "").cast("int") - ((F.size("parts") > 1) & (F.element_at("parts", -1) == "")).cast("int"))
     wanted = terms.select("term").distinct().unionByName(terms.sparkSession.createDataFrame([(EVERY,)], "term string"))
     found = held.select("doc_id", *extra, "length", F.explode(F.concat(F.array(F.lit(EVERY)), "parts")).alias("term")).join(small(wanted), "term")
-    postings = staged(found.groupBy("doc_id", *extra, "length", "term").agg(F.count("*").alias("tf")))
+    postings = staged(found.repartition("doc_id").groupBy("doc_id", *extra, "length", "term").agg(F.count("*").alias("tf")))
     sizes = postings.filter(F.col("term") == EVERY).agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
     postings = postings.filter(F.col("term") != EVERY)
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    weights = terms.join(frequency, "term").crossJoin(F.broadcast(sizes))  # one row of totals
-    scored = weights.join(postings, ["term", *extra]).groupBy("query_id", "doc_id").agg(F.sum(idf * gain).alias("score"))
+    weights = small(terms.join(frequency, "term").crossJoin(F.broadcast(sizes)))  # one row of totals
+    scored = postings.join(weights, ["term", *extra]).groupBy("query_id", "doc_id").agg(F.sum(idf * gain).alias("score"))
     return scored.withColumn("score", F.round("score", 6))
 
 
