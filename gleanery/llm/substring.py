@@ -15,6 +15,10 @@ each on average; a first pass over all documents adds up the loads of cells of m
 the average travel one by one, dealt by the hash of the whole window, so equal ones still meet and no frequent minimiser is one task. A map task
 sends what it holds every ``GATHER`` bytes. The list of hot cells has ``MOST_HOT`` entries at most, as the bound rises with the input.
 
+The number of buckets follows the input, and what a task sends at a time does not. So buckets travel together, in ``PARTS`` parts at most: rows and their compression
+stay the same at any size, where a row for each bucket gave rows with the square of the input. The receiving task takes a part apart into its buckets,
+in a file without a name beyond ``HELD`` bytes, and looks at one bucket at a time.
+
 A document is named by its doc_id. Null doc_ids come last: such a row is named and placed by the hash of its text. Rows of
 the same name count as one document's windows: among equal starts none is earlier, and the marks of a name apply to all its rows, so exact copies
 of a row all stay or lose the same words. Null and empty texts have no words. Texts under ``width`` words have no window. A very long
@@ -24,8 +28,9 @@ text is one slice of its own, never cut. An empty table gives an empty result. O
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import groupby
+import tempfile
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +42,10 @@ from gleanery.llm.common import checkpointed, id_and_text, record, sliced
 from gleanery.llm.words import U, compact, hashes, mixed, run_hashes, sliding_min, spread, window_starts
 
 WIDTH, MINIMISER = 20, 3
-#: Packed bytes that a map task gathers before it sends its buckets, and super-k-mers that it knows as repeated.
-GATHER, KNOWN = 12 << 20, 20_000
+#: Bytes of texts and packed strings that a map task gathers before it sends its buckets, and super-k-mers that it knows as repeated.
+GATHER, KNOWN = 24 << 20, 20_000
+#: Parts in which buckets travel, at most; bytes of a part that the receiving task holds in memory, and of a batch of rows sent.
+PARTS, HELD, SENT_BYTES = 512, 32 << 20, 1 << 20
 #: Packed bytes of a bucket on average, those beyond which its windows are dealt anew, and such buckets at most.
 BUCKET_BYTES, HOT_BYTES, MOST_HOT = 3 << 20, 6 << 20, 1 << 17
 #: Cells of minimisers whose loads are added up, at least, and rows of them that a task holds.
@@ -73,6 +80,7 @@ class Routes:
 
     def __init__(self, buckets: int, cells: int, hot: list[int], more: int) -> None:
         self.buckets, self.cells, self.hot, self.more = buckets, cells, np.array(sorted(hot), np.int64), more
+        self.parts = min(PARTS, buckets + (more if hot else 0))
 
     def dealt(self, found: tuple[np.ndarray, ...], words: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
         """(text, first, windows, content, at, bucket): the super-k-mers, those of hot buckets as one entry for each window."""
@@ -114,15 +122,9 @@ class Sender:
         keep, marks = np.ones(len(text), bool), []
         if same.any() or self.known:
             self.drop_copies(order, same, raw, low, high, doc, first, windows, content, keep, marks)
-        left = np.flatnonzero(keep)
-        left = left[np.argsort(bucket[left], kind="stable")]
-        bucket = bucket[left]
-        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(left) else np.zeros(0, np.int64)
-        lows, highs = low[left].tolist(), high[left].tolist()
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(left)], strict=True):
-            packed = b" ".join([raw[x:y] for x, y in zip(lows[a:b], highs[a:b], strict=True)])
-            self.held.append((int(bucket[a]), doc[left[a:b]], first[left[a:b]].astype("<i4"), windows[left[a:b]].astype("<i4"), packed))
-            self.size += len(packed) + 16 * (b - a)
+        if keep.any():
+            self.held.append((bucket[keep], doc[keep], first[keep], windows[keep], low[keep], high[keep], raw))
+            self.size += len(raw) + int((high - low)[keep].sum()) + 16 * int(keep.sum())
         return marks
 
     def drop_copies(self, order, same, raw, low, high, doc, first, windows, content, keep, marks) -> None:
@@ -148,22 +150,72 @@ class Sender:
                 self.known[packed] = (content[k], *here)
 
     def send(self) -> Iterator[tuple[int, bytes]]:
-        self.held.sort(key=lambda h: h[0])
-        for bucket, own in groupby(self.held, key=lambda h: h[0]):
-            _, doc, first, windows, packed = zip(*own, strict=True)
-            n = sum(map(len, doc))
-            yield bucket, self.press.compress(b"".join([np.int64(n).tobytes(), *(x.tobytes() for x in (*doc, *first, *windows)), b" ".join(packed)]))
+        """(part, blob) of what is held. A blob has its number of buckets, then bucket, super-k-mers and bytes of each, then all their numbers and words."""
+        if not self.held:
+            return
+        *columns, raws = zip(*self.held, strict=True)
+        of = np.repeat(np.arange(len(raws)), [len(x) for x in columns[0]])
+        bucket, doc, first, windows, low, high = (np.concatenate(x) for x in columns)
         self.empty()
-
-
-def repeats(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((bucket, bucket % self.routes.parts))
+        of, bucket, doc, first, windows, low, high = (x[order] for x in (of, bucket, doc, first, windows, low, high))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket % self.routes.parts)) + 1, [len(bucket)]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            packed = b" ".join([raws[i][x:y] for i, x, y in zip(of[a:b].tolist(), low[a:b].tolist(), high[a:b].tolist(), strict=True)])
+            at = np.concatenate([[a], np.flatnonzero(np.diff(bucket[a:b])) + a + 1])
+            heads = np.stack([bucket[at], np.diff(np.concatenate([at, [b]])), np.add.reduceat(high[a:b] - low[a:b] + 1, at - a)], 1)
+            numbers = doc[a:b].tobytes(), first[a:b].astype("<i4").tobytes(), windows[a:b].astype("<i4").tobytes()
+            yield int(bucket[a] % self.routes.parts), self.press.compress(b"".join([np.int64(len(at)).tobytes(), heads.astype("<i8").tobytes(), *numbers, packed]))
+
+
+#: Of super-k-mers in one bucket: doc_ids, first windows and numbers of windows as bytes, and their words, joined by spaces.
+Piece = tuple[bytes, bytes, bytes, bytes]
+
+
+def pieces(blob: bytes) -> Iterator[tuple[int, Piece]]:
+    """(bucket, piece) of each bucket in a blob."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    k = int(np.frombuffer(raw, "<i8", 1)[0])
+    heads = np.frombuffer(raw, "<i8", 3 * k, 8).reshape(k, 3)
+    n = int(heads[:, 1].sum())
+    docs = 8 + 24 * k
+    firsts, windows, packed = docs + 8 * n, docs + 12 * n, docs + 16 * n
+    for bucket, own, size in heads.tolist():
+        yield bucket, (raw[docs : docs + 8 * own], raw[firsts : firsts + 4 * own], raw[windows : windows + 4 * own], raw[packed : packed + size - 1])
+        docs, firsts, windows, packed = docs + 8 * own, firsts + 4 * own, windows + 4 * own, packed + size
+
+
+def joined(own: list[Piece]) -> Piece:
+    doc, first, windows, packed = zip(*own, strict=True)
+    return b"".join(doc), b"".join(first), b"".join(windows), b" ".join(packed)
+
+
+def by_bucket(blobs: Iterable[bytes]) -> Iterator[list[Piece]]:
+    """What a part's blobs hold, one bucket at a time. Beyond ``HELD`` bytes it waits in a file that goes with the task."""
+    held, size = defaultdict(list), 0
+    places: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
+    with tempfile.TemporaryFile() as file:
+        for blob in blobs:
+            for bucket, piece in pieces(blob):
+                held[bucket].append(piece)
+                size += sum(map(len, piece))
+            if size > HELD:
+                for bucket, own in held.items():
+                    places[bucket].append((file.tell(), list(map(len, whole := joined(own)))))
+                    file.writelines(whole)
+                held, size = defaultdict(list), 0
+        for bucket in sorted(held.keys() | places.keys()):
+            found = held.pop(bucket, [])
+            for place, lengths in places.pop(bucket, []):
+                file.seek(place)
+                found.append(tuple(map(file.read, lengths)))
+            yield found
+
+
+def repeats(own: list[Piece], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, low, high): word ranges of the windows in one bucket that start earlier elsewhere."""
-    opened = [zstandard.ZstdDecompressor().decompress(b) for b in blobs]
-    counts = [int(np.frombuffer(o, "<i8", 1)[0]) for o in opened]
-    part = lambda kind, at, size: np.concatenate([np.frombuffer(o, kind, n, 8 + at * n) for o, n in zip(opened, counts, strict=True)])
-    doc, first, windows = part("<i8", 0, 8), part("<i4", 8, 4).astype(np.int64), part("<i4", 12, 4).astype(np.int64)
-    raw = b" ".join([o[8 + 16 * n :] for o, n in zip(opened, counts, strict=True)])
-    del opened
+    *numbers, raw = joined(own)
+    doc, first, windows = (np.frombuffer(x, kind).astype(np.int64) for x, kind in zip(numbers, ("<i8", "<i4", "<i4"), strict=True))
     data = np.frombuffer(raw, np.uint8)
     space = data == 32
     starts = np.concatenate([[0], np.flatnonzero(space) + 1])
@@ -237,7 +289,7 @@ def routes_of(docs: DataFrame, width: int, m: int) -> Routes:
 def removed_ranges(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) -> DataFrame:
     """Rows of (document, ranges) for rows of (document, text): word ranges [low, high) that go, which may overlap."""
     routes = docs.sparkSession.sparkContext.broadcast(routes_of(docs, width, m))
-    buckets = routes.value.buckets
+    parts = routes.value.parts
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = Sender(routes.value, width, m)
@@ -247,38 +299,56 @@ def removed_ranges(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) -> D
                 marks = sender.take(ids, [t.encode() for t in part.column(1).fill_null("").to_pylist()])
                 if marks:
                     d, f, n = (np.array(x, np.int64) for x in zip(*marks, strict=True))
-                    yield of(-1, None, d, f, f + n + width - 1)
+                    yield record(part=mark_part(d, f), blob=pa.nulls(len(d), pa.binary()), doc=d, low=f, high=f + n + width - 1)
                 if sender.size > GATHER:
-                    yield from map(sent, sender.send())
-        yield from map(sent, sender.send())
-
-    def of(bucket: int, blob: bytes | None, doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
-        n = len(doc) if blob is None else 1
-        return record(
-            bucket=pa.array(mark_bucket(doc, low) if blob is None else [bucket], pa.int64()), blob=pa.array([blob] * n, pa.binary()),
-            doc=pa.array(doc if blob is None else [None], pa.int64()), low=pa.array(low if blob is None else [None], pa.int64()), high=pa.array(high if blob is None else [None], pa.int64()),
-        )
+                    yield from sent(sender)
+        yield from sent(sender)
 
-    def mark_bucket(doc: np.ndarray, low: np.ndarray) -> np.ndarray:
+    def mark_part(doc: np.ndarray, low: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return bucket_of(doc.astype(U) * U(0x9E3779B97F4A7C15) + low.astype(U), buckets)
-
-    def sent(pair: tuple[int, bytes]) -> pa.RecordBatch:
-        return of(pair[0], pair[1], *[np.zeros(0, np.int64)] * 3)
-
-    def count(bucket: pa.Table) -> pa.Table:
-        blobs = bucket.column("blob").drop_null().to_pylist()
-        known = bucket.filter(bucket.column("doc").is_valid())
-        found = repeats(blobs, width) if blobs else [np.zeros(0, np.int64)] * 3
-        rows = np.stack([np.concatenate([known.column(c).to_numpy(), x]) for c, x in zip(("doc", "low", "high"), found, strict=True)], 1)
-        doc, low, high = np.unique(rows, axis=0).T
-        cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+            return bucket_of(doc.astype(U) * U(0x9E3779B97F4A7C15) + low.astype(U), parts)
+
+    def sent(sender: Sender) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for row in sender.send():
+            rows.append(row)
+            size += len(row[1])
+            if size > SENT_BYTES:
+                yield of(rows)
+                rows, size = [], 0
+        if rows:
+            yield of(rows)
+
+    def of(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        part, blob = zip(*rows, strict=True)
+        return record(part=pa.array(part, pa.int64()), blob=pa.array(blob, pa.binary()), **{c: pa.nulls(len(rows), pa.int64()) for c in ("doc", "low", "high")})
+
+    def count(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = []
+
+        def blobs() -> Iterator[bytes]:
+            for batch in part:
+                known = batch.filter(batch.column("doc").is_valid())
+                if known.num_rows:
+                    marked.append(ranges(*(known.column(c).to_numpy() for c in ("doc", "low", "high"))))
+                for blob in batch.column("blob").drop_null():
+                    yield blob.as_py()
+
+        for own in by_bucket(blobs()):
+            found = repeats(own, width)
+            if len(found[0]):
+                yield ranges(*found)
+        yield from marked
+
+    def ranges(*columns: np.ndarray) -> pa.RecordBatch:
+        doc, low, high = np.unique(np.stack(columns, 1), axis=0).T
+        cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
         flat = np.stack([low, high], 1).ravel().astype(np.int32)
         offsets = pa.array(np.concatenate([2 * cuts, [2 * len(doc)]]).astype(np.int32))
-        return pa.table({"document": pa.array(doc[cuts], pa.int64()), "flat": pa.ListArray.from_arrays(offsets, pa.array(flat))})
+        return record(document=pa.array(doc[cuts], pa.int64()), flat=pa.ListArray.from_arrays(offsets, pa.array(flat)))
 
-    sent_rows = docs.mapInArrow(split, "bucket long, blob binary, doc long, low long, high long")
-    found = sent_rows.groupBy("bucket").applyInArrow(count, "document long, flat array<int>")
+    sent_rows = docs.mapInArrow(split, "part long, blob binary, doc long, low long, high long")
+    found = sent_rows.groupBy("part").applyInArrow(count, "document long, flat array<int>")
     return found.groupBy("document").agg(F.flatten(F.collect_list("flat")).alias("ranges"))
 
 

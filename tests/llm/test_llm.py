@@ -124,6 +124,42 @@ def test_substring_dedup(spark, monkeypatch, few, hot):
     assert sorted(map(tuple, got.collect())) == windows_by_brute_force(rows)
 
 
+def test_substring_dedup_with_many_buckets_in_few_parts(spark, monkeypatch):
+    monkeypatch.setattr(substring, "GATHER", 4000)
+    monkeypatch.setattr(substring, "HOT_BYTES", 2000)
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 500)
+    monkeypatch.setattr(substring, "PARTS", 3, raising=False)
+    rnd = random.Random(8)
+    passages = [[f"w{rnd.randint(0, 300)}" for _ in range(rnd.randint(20, 60))] for _ in range(5)]
+    rows = [(i, " ".join(sum(rnd.choices(passages, k=2), [f"v{rnd.randint(0, 90)}" for _ in range(30)]))) for i in range(50)]
+    got = substring.dedup_substrings(frame(spark, rows, "doc_id long, text string").repartition(3), digest=True)
+    assert sorted(map(tuple, got.collect())) == windows_by_brute_force(rows)
+
+
+def test_rows_sent_do_not_follow_the_number_of_buckets(monkeypatch):
+    """A task sends at most ``PARTS`` rows at a time, however many buckets a large input has; the receiver finds each bucket as it was, also from a file."""
+    rnd = random.Random(9)
+    texts = [" ".join(f"w{rnd.randint(0, 5000)}" for _ in range(2000)).encode() for _ in range(20)]
+    texts.append(b"x " + texts[3])
+    sender = substring.Sender(substring.Routes(20_000, 4096, [], 1), 20, 3)
+    sent = []
+    for low in (0, 10):
+        sender.take(np.arange(low, low + 11), texts[low : low + 11])
+        sent.append(list(sender.send()))
+    assert max(map(len, sent)) <= 512
+    parts = {}
+    for part, blob in sent[0] + sent[1]:
+        parts.setdefault(part, []).append(blob)
+    assert max(len(b) for b in parts.values()) == 2
+    results = []
+    for held in (1 << 30, 0):
+        monkeypatch.setattr(substring, "HELD", held)
+        found = [substring.repeats(own, 20) for blobs in parts.values() for own in substring.by_bucket(blobs)]
+        assert len(found) > 2000
+        results.append(sorted((d, x) for f in found for d, low, high in zip(*map(np.ndarray.tolist, f), strict=True) for x in range(low, high - 19)))
+    assert results[0] == results[1] == [(20, x) for x in range(1, 1982)]
+
+
 def test_substring_dedup_of_rows_without_an_id_and_of_repeated_rows(spark):
     passage = " ".join(f"p{i}" for i in range(30))
     rows = [(None, passage + " one"), (None, passage + " one"), (None, "two " + passage), (5, passage), (5, passage), (9, None)]
