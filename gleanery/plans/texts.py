@@ -22,7 +22,7 @@ def normalize_tokens(t: Tables) -> DataFrame:
 select doc_id, len(ss)::int as n_sentences, list_max(list_transform(ss, lambda x: length(x)))::int as longest, ss[1] as first from s""")
 def sentence_split(t: Tables) -> DataFrame:
     s = t.documents.select("doc_id", X.sentences(F.col("text")).alias("ss"))
-    return s.select("doc_id", F.size("ss").alias("n_sentences"), F.array_max(F.transform("ss", F.length)).alias("longest"), F.element_at("ss", 1).alias("first"))
+    return s.select("doc_id", F.size("ss").alias("n_sentences"), F.array_max(F.transform("ss", F.length)).alias("longest"), F.get("ss", F.lit(0)).alias("first"))
 
 
 #: Short forms looked for as whole words, with what they stand for.
