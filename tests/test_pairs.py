@@ -72,3 +72,32 @@ def test_sketches_are_kept_by_type_only(spark, tmp_path):
     assert sorted(map(tuple, out.collect()), key=str) == [("a", True), ("b", True), (None, True)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "DISTINCT" not in plan.upper().replace("APPROX_COUNT_DISTINCT", "")
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_nearest_vectors_with_ties_and_copies(spark, odd):
+    import numpy as np
+
+    from gleanery.operators.retrieve import nearest
+
+    held = np.random.default_rng(3).integers(-3, 4, (300, 8)).astype(np.float32) / 7
+    held[50:60] = held[40] + np.float32(2e-7)  # equal after rounding only
+    held[200:210] = held[100]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(held)] + [(7, [float(x) for x in held[8]])]  # an id twice
+    if odd:
+        rows[11] = (11, [0.5] * 7 + [float("inf")])
+    docs = spark.createDataFrame(rows, "doc_id long, vector array<float>")
+    asked = docs.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+
+    def product(x, y):
+        total = 0.0
+        for a, b in zip(x, y, strict=True):
+            total += a * b
+        return total
+
+    wanted = []
+    for q, x in rows:
+        if q % 20 == 0:
+            scores = [(round(product(x, y), 6), d) for d, y in rows if d != q]
+            wanted += [(q, d, s, 1 + sum(o > s for o, _ in scores)) for s, d in scores]
+    assert sorted(map(tuple, nearest(asked, docs, 5).collect())) == sorted(r for r in wanted if r[3] <= 5)
