@@ -72,7 +72,7 @@ def bm25_document_filter(t: Tables) -> DataFrame:
 
 @query(f"with {LINES} select doc_id, pos::int as pos, trim(regexp_replace(regexp_replace(lower(line), '[^a-z0-9\\s-]', ' ', 'g'), '[ \\t\\n\\f\\r]+', ' ', 'g'), ' ') as key from lines")
 def object_normalizer(t: Tables) -> DataFrame:
-    return t.lines().select("doc_id", "pos", S.normalized_object(F.col("line")).alias("key"))
+    return S.normalized_lines(t.documents)
 
 
 OBJECTS = f"ob as (select doc_id, (pos // 4)::int as object, string_agg(line, chr(10) order by pos) as text, case when doc_id % 3 = 0 then 'paragraph' when doc_id % 3 = 1 then 'list' else 'table' end as kind from lines group by doc_id, pos // 4)"
