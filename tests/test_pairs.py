@@ -101,3 +101,19 @@ def test_nearest_vectors_with_ties_and_copies(spark, odd):
             scores = [(round(product(x, y), 6), d) for d, y in rows if d != q]
             wanted += [(q, d, s, 1 + sum(o > s for o, _ in scores)) for s, d in scores]
     assert sorted(map(tuple, nearest(asked, docs, 5).collect())) == sorted(r for r in wanted if r[3] <= 5)
+
+
+def test_terms_and_lines_by_bytes_are_those_of_the_patterns(spark):
+    from gleanery.functions.text import tokens
+    from gleanery.operators.retrieve import with_terms
+    from gleanery.operators.shaping import normalized_lines
+
+    texts = ["A-b  c_D e\n\n\tÉcole 12.5% x\x0by\n", "", None, "Kelvin İstanbul straße", "漢字-abc", "a a A b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
+    counts = {(r["doc_id"], r["term"]): r["count"] for r in every.groupBy("doc_id", "term").count().collect()}
+    assert {(r["doc_id"], r["term"]): r["tf"] for r in with_terms(docs, every.select("term")).collect()} == counts
+    lengths = {r["doc_id"]: r["length"] for r in with_terms(docs, every.select("term"), every=True).filter("term = '\0'").collect()}
+    assert lengths == {d: None if t is None else sum(n for (x, _), n in counts.items() if x == d) for d, t in enumerate(texts)}
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", F.trim(F.regexp_replace(F.lower("line"), "[^a-z0-9-]+", " ")))
+    assert sorted(map(tuple, normalized_lines(docs).collect())) == sorted(map(tuple, lines.collect()))
